@@ -1,7 +1,8 @@
 """Continuous periods out of overlapping intervals, and the holes between them.
 
 Sessions with a gap per row merge what overlaps. An entity's time is cut into shards, so that one entity with very many
-rows spreads over many tasks; what reaches over a shard's edge is stitched with one summary row per entity and shard.
+rows spreads over many tasks. The sessions of a shard are disjoint and at least a second apart: an entity has fewer of
+them than its span has seconds, however many rows it has, and these are stitched in order of time.
 """
 
 from __future__ import annotations
@@ -18,54 +19,23 @@ def continuous_periods(intervals: DataFrame, keys: list[str], start: str, length
     the same keys' next period, NULL for the last. Rows whose start or length is NULL, and lengths of 0 or less, have no
     part. NULL is a key value as any other. Repeated rows change nothing. An empty table gives an empty table.
     """
-    shard = [*keys, "_shard"]
     rows = intervals.select(
         *keys,
         F.timestamp_seconds(F.col(start)).alias("_at"),
         F.make_interval(secs=F.col(length).cast("decimal(18,6)")).alias("_gap"),
         F.floor(F.col(start) / F.lit(shard_s)).cast("bigint").alias("_shard"),
     ).where(F.col(start).isNotNull() & (F.col(length) > 0))
-    sessions = rows.groupBy(*shard, F.session_window("_at", F.col("_gap")).alias("_session")).agg(F.count(F.lit(1)).alias("_n"))
-    sessions = sessions.select(*shard, F.unix_seconds("_session.start").alias("_s"), F.unix_seconds("_session.end").alias("_e"))
-
-    # sessions that only touch
-    before = F.max("_e").over(W.partitionBy(*shard).orderBy("_s").rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum("_new").over(W.partitionBy(*shard).orderBy("_s").rowsBetween(W.unboundedPreceding, 0))
-    sessions = sessions.withColumn("_new", F.when(F.col("_s") <= before, 0).otherwise(1)).withColumn("_island", island)
-    local = sessions.groupBy(*shard, "_island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-
-    # a period is a continuation where something that began in an earlier shard reaches it
-    by_key = W.partitionBy(*keys).orderBy("_shard")
-    reach = local.groupBy(*shard).agg(F.max("_e").alias("_e")).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(shard)], F.max("_e").over(by_key.rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(shard)]
-    names = [f"_k{i}" for i in range(len(shard))]
-    local = local.join(reach, on, "left").drop(*names).withColumn("_head", F.col("_carry").isNull() | (F.col("_s") > F.col("_carry")))
-
-    # the period that follows a shard's last head, and how far that head reaches by then
-    edges = local.groupBy(*shard).agg(
-        F.min(F.when(F.col("_head"), F.col("_s"))).alias("_first"),
-        F.max(F.when(~F.col("_head"), F.col("_e"))).alias("_tail"),
-        F.max("_e").alias("_e"),
-        F.max("_carry").alias("_carry"),
-    )
-    later = W.partitionBy(*keys).orderBy(F.col("_shard").desc()).rowsBetween(W.unboundedPreceding, -1)
-    ahead = F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("s"), F.greatest("_carry", "_tail").alias("e")))
-    edges = edges.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(shard)],
-        F.last(ahead, ignorenulls=True).over(later).alias("_next"),
-        F.max("_e").over(W.partitionBy(*keys)).alias("_end"),
-    )
-    heads = local.where("_head").withColumn("_lead", F.lead("_s").over(W.partitionBy(*shard).orderBy("_s")))
-    heads = heads.join(edges, on, "left")
-    last_end = F.when(F.col("_next").isNotNull(), F.greatest("_e", "_next.e")).otherwise(F.greatest("_e", "_end"))
-    return heads.select(
-        *keys,
-        F.col("_s").alias("start_s"),
-        F.when(F.col("_lead").isNotNull(), F.col("_e")).otherwise(last_end).alias("end_s"),
-        F.coalesce("_lead", "_next.s").alias("next_start_s"),
-    )
+    sessions = rows.groupBy(*keys, "_shard", F.session_window("_at", F.col("_gap")).alias("_session")).agg(F.count(F.lit(1)).alias("_n"))
+    sessions = sessions.select(*keys, F.unix_seconds("_session.start").alias("_s"), F.unix_seconds("_session.end").alias("_e"))
+
+    # what only touches, or reaches over a shard's edge
+    w = W.partitionBy(*keys).orderBy("_s")
+    before = F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1))
+    sessions = sessions.withColumn("_new", F.when(F.col("_s") <= before, 0).otherwise(1))
+    islands = sessions.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    periods = islands.groupBy(*keys, "_island").agg(F.min("_s").alias("start_s"), F.max("_e").alias("end_s"))
+    following = F.lead("start_s").over(W.partitionBy(*keys).orderBy("start_s"))
+    return periods.select(*keys, "start_s", "end_s", following.alias("next_start_s"))
 
 
 def periods_and_gaps(events: DataFrame, max_gap_s: int = 7 * 86_400, shard_s: int = 86_400) -> DataFrame:

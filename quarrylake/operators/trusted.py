@@ -15,15 +15,16 @@ from quarrylake.contracts import EVENT_FIELDS
 from quarrylake.functions.reading import epoch_of, minutes_of, number_of, text_of
 
 
-def _value(name: str, kind: str) -> Column:
-    text = F.lower(text_of(F.col(name)))
-    read = epoch_of(F.col(name)) if kind == "instant" else number_of(F.col(name)) if kind != "text" else None
-    return F.coalesce(text, F.lit("")) if read is None else F.coalesce(read.cast("string"), F.concat(F.lit("!"), text), F.lit(""))
+def _same(text: Column, read: Column | None = None) -> Column:
+    """Text that is equal where values are. Never NULL: a hash would skip it."""
+    bare = F.coalesce(F.lower(F.trim(text)), F.lit(""))
+    return bare if read is None else F.coalesce(read.cast("string"), bare)
 
 
 def payload_hash() -> Column:
-    """64 bits over what copies must agree on. No argument is NULL: the hash would skip it."""
-    return F.xxhash64(*[_value(f.name, f.kind) for f in EVENT_FIELDS if f.name != "event_id"])
+    """64 bits over what copies must agree on."""
+    read = {"text": lambda c: None, "instant": epoch_of}
+    return F.xxhash64(*[_same(F.col(f.name), read.get(f.kind, number_of)(F.col(f.name))) for f in EVENT_FIELDS if f.name != "event_id"])
 
 
 def contradicting_ids(events: DataFrame) -> DataFrame:
