@@ -13,6 +13,7 @@ gives the encoding.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from struct import pack as packed
 
@@ -118,7 +119,11 @@ class _Units(dict):
     def __init__(self, lead: str, words: dict[str, bytes], automaton: Automaton):
         self.lead, self.words, self.automaton, self.find = lead, words, automaton, regex.compile(WORDS).findall
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes | None:
+        """None where no unit may be cut: white space is adjacent."""
+        if self.lead and (not unit or unit[0].isspace()):
+            self[unit] = None
+            return None
         out = []
         for w in self.find(self.lead + unit):
             e = self.words.get(w)
@@ -141,8 +146,7 @@ class _Units(dict):
 class Tokenizer:
     """Encodes texts with a byte-level BPE vocabulary (the JSON that the public file holds). Special tokens are never made."""
 
-    _spaces = regex.compile(r"\p{White_Space}\p{White_Space}")
-    _cut = regex.compile(r" (?=\P{White_Space})")
+    _cut = re.compile(r" (?=\S)")
 
     def __init__(self, vocabulary: bytes):
         model, letters = json.loads(vocabulary)["model"], byte_letters()
@@ -155,8 +159,12 @@ class Tokenizer:
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
-        parts = self._cut.split(text) if self._spaces.search(text) else text.split(" ")
-        return self._first[parts[0]] + b"".join(map(self._next.__getitem__, parts[1:]))
+        parts = text.split(" ")
+        try:
+            return self._first[parts[0]] + b"".join(map(self._next.__getitem__, parts[1:]))
+        except TypeError:  # a None among them
+            parts = self._cut.split(text)
+            return self._first[parts[0]] + b"".join(map(self._next.__getitem__, parts[1:]))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist() if text else []
