@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions.reading import day_of
-from quarrylake.operators import asof, delivery, history, intervals, malformed, rolling
+from quarrylake.operators import anomalies, asof, delivery, history, intervals, malformed, rolling
 from quarrylake.operators.trusted import contradicting_ids, trusted_events
 
 
@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.periods_and_gaps(events).where("kind <> 'report'")
 
 
+def p2_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.implausible_readings(trusted_events(_table(spark, sf_dir, "sample_machine_events"), *anomalies.READINGS))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_states(spark, sf_dir).select("event_id", "reading_field")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "sample_machine_events")
     judged = delivery.judge_deliveries(events, "event_id", ["_ingested_at", "record_id"])
@@ -65,5 +73,5 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_loaded, p7_found, p7_totals)
+    f.__name__: f for f in (p1_found, p2_found, p2_states, p3_found, p4_found, p5_found, p6_found, p6_loaded, p7_found, p7_totals)
 }
