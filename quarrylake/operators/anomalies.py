@@ -40,7 +40,7 @@ class Reading:
 READINGS = {
     "temperature_c": Reading(-90.0, 400.0, 0.5),
     "vibration_mm_s": Reading(0.0, 1000.0, 0.05),
-    "fuel_level_pct": Reading(0.0, 100.0, 0.8, True, 8.5, 12.0, 2.5),
+    "fuel_level_pct": Reading(0.0, 100.0, 0.8, True, 8.5, 12.0, 6.0),
     "hour_meter": Reading(0.0, np.inf, 1.0, True),
 }
 #: Successive equal readings that make a stuck run, and spikes that may lie together.
@@ -86,7 +86,7 @@ def spike_probability(x: np.ndarray, group: np.ndarray, stuck: np.ndarray, kind:
     usual = _grouped_median(step, group, groups) if kind.drifts else np.zeros(groups)
     scatter = 1.4826 * _grouped_median(np.abs(step - usual[group]), group, groups)
     scale = np.maximum(np.maximum(scatter, 2 * np.abs(usual)) if not np.isfinite(kind.hi) else scatter, kind.least)[group]
-    wide = np.maximum(scale, 0.7 * np.abs(usual[group]))  # a step takes longer at times
+    wide = np.maximum(scale, 0.7 * np.abs(usual[group]))  # a step goes further at times
     usual = usual[group]
 
     def far(k: int) -> np.ndarray:
@@ -112,7 +112,7 @@ def spike_probability(x: np.ndarray, group: np.ndarray, stuck: np.ndarray, kind:
             break
         to, at = x[k:], x[:-k]
         moved = to - at - k * usual[k:]
-        u = np.abs(moved) / wide[k:]
+        u = np.abs(moved) / np.where(moved * usual[k:] > 0, wide[k:], scale[k:])
         level = np.where(moved > 0, kind.rise, kind.fall)
         level = np.where(stuck[:-k] & ~stuck[k:], np.minimum(level, RELEASE), level)
         weight = np.logaddexp(-u / TAIL, -level) + odds(k - 1) - np.where(stuck[:-k] & (k > 1), FREED, 0.0)
