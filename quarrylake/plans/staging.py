@@ -1,0 +1,15 @@
+"""Cutting lineage where one result feeds many: a checkpoint in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from spark.checkpoint.dir. A folder of its own is set only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
