@@ -4,46 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.operators.marts import SEMANTICS
-from quarrylake.operators.medallion import blank
 
+_MINUTES = ("running_minutes", "idle_minutes", "maintenance_minutes", "downtime_minutes", "observed_minutes")
 
-def _present(c: str) -> Column:
-    return ~blank(F.col(c))
 
+def _present(*columns: str) -> str:
+    return " AND ".join(f"trim(cast({c} AS string)) <> ''" for c in columns)
 
-def _within(c: str, lo: float | None = 0, hi: float | None = None) -> Column:
-    x = F.col(c)
-    ok = F.lit(True) if lo is None else x >= lo
-    return x.isNull() | (ok if hi is None else ok & (x <= hi))
 
+def _within(c: str, lo: float = 0, hi: float | None = None) -> str:
+    return f"({c} IS NULL OR {c} >= {lo}" + (f" AND {c} <= {hi})" if hi is not None else ")")
 
-_LOAD = F.col("downtime_load_pct")
-_DOWN, _SEEN = F.col("downtime_minutes"), F.col("observed_minutes")
-_MINUTES = ("running_minutes", "idle_minutes", "maintenance_minutes", "downtime_minutes", "observed_minutes")
-_STATUS_SUM = sum((F.coalesce(c, F.lit(0)) for c in _MINUTES[1:3]), F.coalesce(_MINUTES[0], F.lit(0)))
-LOAD_VALID = (
-    ((_SEEN > 0) & _LOAD.isNotNull() & (F.abs(_LOAD - _DOWN / _SEEN * 100) <= 0.0151))
-    | ((_SEEN == 0) & (_DOWN == 0) & (_LOAD == 0))
-    | ((_SEEN == 0) & (_DOWN > 0) & _LOAD.isNull())
-)
 
+def _each(pattern: str, columns: tuple[str, ...]) -> str:
+    return " AND ".join(pattern.format(c) for c in columns)
 
-def _all(*columns: Column) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out = out & c
-    return out
 
+STATUS_WITHIN = "coalesce(running_minutes, 0) + coalesce(idle_minutes, 0) + coalesce(maintenance_minutes, 0) <= coalesce(observed_minutes, 0)"
+LOAD_VALID = (
+    "CASE WHEN observed_minutes > 0 THEN abs(downtime_load_pct - downtime_minutes / observed_minutes * 100) <= 0.0151 "
+    "WHEN observed_minutes = 0 AND downtime_minutes = 0 THEN downtime_load_pct = 0 "
+    "WHEN observed_minutes = 0 AND downtime_minutes > 0 THEN downtime_load_pct IS NULL END"
+)
+EXCEEDS_VALID = "downtime_exceeds_observed <=> (downtime_minutes > observed_minutes)"
+VERSION_KNOWN = f"downtime_semantics_version = '{SEMANTICS}'"
 
 #: What rows of each table are expected to fulfil. A row for which a predicate isn't true fails it; no row is dropped.
-EXPECTATIONS: dict[str, dict[str, Column]] = {
+EXPECTATIONS: dict[str, dict[str, str]] = {
     "silver": {
         **{f"{c}_present": _present(c) for c in ("event_id", "machine_id", "site_id", "client_id")},
-        "event_timestamp_present": F.col("event_ts_utc").isNotNull(),
+        "event_timestamp_present": "event_ts_utc IS NOT NULL",
         "duration_non_negative": _within("duration_minutes"),
         "downtime_non_negative": _within("downtime_minutes"),
         "maintenance_cost_non_negative": _within("maintenance_cost_gbp"),
@@ -51,40 +45,39 @@ EXPECTATIONS: dict[str, dict[str, Column]] = {
         "health_score_in_range": _within("health_score", 0, 100),
     },
     "uptime": {
-        "event_date_present": F.col("event_date").isNotNull(),
+        "event_date_present": "event_date IS NOT NULL",
         **{f"{c}_present": _present(c) for c in ("machine_id", "site_id")},
-        "duration_values_present": _all(*[F.col(c).isNotNull() for c in _MINUTES]),
-        "duration_values_non_negative": _all(*[F.col(c) >= 0 for c in _MINUTES]),
-        "status_minutes_within_observed": _STATUS_SUM <= F.coalesce(_SEEN, F.lit(0)),
+        "duration_values_present": _each("{} IS NOT NULL", _MINUTES),
+        "duration_values_non_negative": _each("{} >= 0", _MINUTES),
+        "status_minutes_within_observed": STATUS_WITHIN,
         "uptime_pct_in_range": _within("uptime_pct", 0, 100),
         "avg_health_score_in_range": _within("avg_health_score", 0, 100),
         "downtime_load_formula_valid": LOAD_VALID,
-        "downtime_compatibility_alias_consistent": F.col("downtime_pct").eqNullSafe(_LOAD),
-        "downtime_exceedance_flag_consistent": F.col("downtime_exceeds_observed").eqNullSafe(_DOWN > _SEEN),
-        "downtime_semantics_version_known": F.col("downtime_semantics_version") == SEMANTICS,
+        "downtime_compatibility_alias_consistent": "downtime_pct <=> downtime_load_pct",
+        "downtime_exceedance_flag_consistent": EXCEEDS_VALID,
+        "downtime_semantics_version_known": VERSION_KNOWN,
     },
     "forecast": {
         "run_id_present": _present("forecast_run_id"),
-        "forecast_date_present": F.col("forecast_date").isNotNull(),
-        "segment_keys_present": _all(*[_present(c) for c in ("site_id", "client_id", "model")]),
-        "forecast_non_negative": F.col("forecast_downtime_minutes") >= 0,
-        "interval_lower_non_negative": F.col("prediction_interval_lower_minutes") >= 0,
-        "interval_ordered": F.col("prediction_interval_lower_minutes") <= F.col("prediction_interval_upper_minutes"),
-        "forecast_in_interval": F.col("forecast_downtime_minutes").between(F.col("prediction_interval_lower_minutes"), F.col("prediction_interval_upper_minutes")),
-        "validation_count_non_negative": F.col("validation_observation_count") >= 0,
-        "thresholds_paired": F.col("max_mae_downtime_minutes").isNull() == F.col("min_interval_coverage_pct").isNull(),
+        "forecast_date_present": "forecast_date IS NOT NULL",
+        "segment_keys_present": _present("site_id", "client_id", "model"),
+        "forecast_non_negative": "forecast_downtime_minutes >= 0",
+        "interval_lower_non_negative": "prediction_interval_lower_minutes >= 0",
+        "interval_ordered": "prediction_interval_lower_minutes <= prediction_interval_upper_minutes",
+        "forecast_in_interval": "forecast_downtime_minutes BETWEEN prediction_interval_lower_minutes AND prediction_interval_upper_minutes",
+        "validation_count_non_negative": "validation_observation_count >= 0",
+        "thresholds_paired": "(max_mae_downtime_minutes IS NULL) = (min_interval_coverage_pct IS NULL)",
         "mae_non_negative": _within("mae_downtime_minutes"),
         "coverage_in_range": _within("backtest_interval_coverage_pct", 0, 100),
-        "validated_meets_all_gates": (F.col("forecast_status") != "validated_baseline")
-        | (F.col("meets_min_validation_samples") & F.col("meets_mae_threshold") & F.col("meets_interval_coverage_threshold")),
+        "validated_meets_all_gates": "forecast_status <> 'validated_baseline' OR (meets_min_validation_samples AND meets_mae_threshold AND meets_interval_coverage_threshold)",
     },
 }
 
 
-def evaluate(df: DataFrame, dataset: str, predicates: Mapping[str, Column]) -> DataFrame:
+def evaluate(df: DataFrame, dataset: str, predicates: Mapping[str, str]) -> DataFrame:
     """dataset, expectation, passed_records, failed_records of each predicate, in one aggregation."""
     names = list(predicates)
-    holds = {n: F.coalesce(p, F.lit(False)) for n, p in predicates.items()}
+    holds = {n: F.coalesce(F.expr(p), F.lit(False)) for n, p in predicates.items()}
     one = df.agg(F.count("*").alias("_n"), *[F.count_if(~holds[n]).alias(n) for n in names])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("expectation"), F.col(n).alias("failed")) for n in names])).alias("e")
     return one.select("_n", each).select(
@@ -106,20 +99,21 @@ def quality(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     grain_names = {"silver": "silver_event_id_unique", "fact_machine_uptime_daily": "uptime_fact_grain_unique", "fact_machine_failure_event": "failure_fact_grain_unique"}
     keys = {"fact_machine_uptime_daily": ("date_key", "client_key", "machine_key", "model_key", "site_key")}
     keys["fact_machine_failure_event"] = (*keys["fact_machine_uptime_daily"], "fault_key")
+    bounds = lambda *columns: " AND ".join(_within(c) for c in columns)
     predicates = {
         "silver": {
-            "silver_required_fields_present": _all(*[_present(c) for c in ("event_id", "machine_id", "event_ts_utc", "site_id", "client_id")]),
-            "silver_operational_metrics_in_bounds": _all(*[_within(c) for c in ("duration_minutes", "downtime_minutes", "maintenance_cost_gbp", "part_quantity")], _within("fuel_level_pct", 0, 100)),
+            "silver_required_fields_present": _present("event_id", "machine_id", "event_ts_utc", "site_id", "client_id"),
+            "silver_operational_metrics_in_bounds": bounds("duration_minutes", "downtime_minutes", "maintenance_cost_gbp", "part_quantity") + " AND " + _within("fuel_level_pct", 0, 100),
         },
         "fact_machine_uptime_daily": {
-            "uptime_fact_dimension_keys_present": _all(*[F.col(k).isNotNull() for k in keys["fact_machine_uptime_daily"]]),
-            "uptime_fact_percentage_bounds": _all(*[_within(c, 0, 100) for c in ("uptime_pct", "idle_pct", "maintenance_pct")], _within("downtime_pct")),
-            "uptime_fact_status_minutes_within_observed": _STATUS_SUM <= F.coalesce(_SEEN, F.lit(0)),
-            "uptime_fact_downtime_semantics_valid": LOAD_VALID & F.col("downtime_exceeds_observed").eqNullSafe(_DOWN > _SEEN) & (F.col("downtime_semantics_version") == SEMANTICS),
+            "uptime_fact_dimension_keys_present": _each("{} IS NOT NULL", keys["fact_machine_uptime_daily"]),
+            "uptime_fact_percentage_bounds": " AND ".join(_within(c, 0, 100) for c in ("uptime_pct", "idle_pct", "maintenance_pct")) + " AND " + _within("downtime_pct"),
+            "uptime_fact_status_minutes_within_observed": STATUS_WITHIN,
+            "uptime_fact_downtime_semantics_valid": f"{LOAD_VALID} AND {EXCEEDS_VALID} AND {VERSION_KNOWN}",
         },
         "fact_machine_failure_event": {
-            "failure_fact_dimension_keys_present": _all(*[F.col(k).isNotNull() for k in keys["fact_machine_failure_event"]]),
-            "failure_fact_measures_in_bounds": _all(*[_within(c) for c in ("failure_event_count", "downtime_minutes", "maintenance_cost_gbp", "part_quantity")]),
+            "failure_fact_dimension_keys_present": _each("{} IS NOT NULL", keys["fact_machine_failure_event"]),
+            "failure_fact_measures_in_bounds": bounds("failure_event_count", "downtime_minutes", "maintenance_cost_gbp", "part_quantity"),
         },
     }
     spark = next(df.sparkSession for df in tables.values() if df is not None)
@@ -132,7 +126,7 @@ def quality(tables: Mapping[str, DataFrame | None]) -> DataFrame:
             parts.append(spark.range(1).select(F.lit(f"{name}_table_readable").alias("check_name"), F.lit("fail").alias("status"), F.lit("error").alias("severity"), F.lit(1).cast("bigint").alias("observed_count")))
             continue
         rules = predicates.get(name, {})
-        one = df.agg(F.count("*").alias("_n"), *[F.count_if(~F.coalesce(p, F.lit(False))).alias(n) for n, p in rules.items()])
+        one = df.agg(F.count("*").alias("_n"), *[F.count_if(~F.coalesce(F.expr(p), F.lit(False))).alias(n) for n, p in rules.items()])
         found = [result(f"{name}_table_readable", F.lit(0), F.col("_n"))]
         if name != "quarantine":
             empty = F.when(F.col("_n") == 0, 1).otherwise(0)
