@@ -240,13 +240,9 @@ def implausible_readings(events: DataFrame, fields: tuple[str, ...] = tuple(READ
     without a machine or time have no part. An empty table gives an empty table.
     """
     rows = events.select("event_id", "machine_id", "epoch_s", *fields).where("machine_id is not null and epoch_s is not null")
-    hot = rows.groupBy("machine_id").count().where(F.col("count") > HOT).select("machine_id")
-    cuts = (
-        rows.select("machine_id", "epoch_s")
-        .join(hot, "machine_id", "left_semi")
-        .groupBy("machine_id")
-        .agg(F.array_distinct(F.percentile_approx("epoch_s", [i / PIECES for i in range(1, PIECES)], 10_000)).alias("_cuts"))
-    )
+    # cut times of machines with very many rows; a machine with few keeps all its times in its sketch at most
+    cut_at = F.array_distinct(F.percentile_approx("epoch_s", [i / PIECES for i in range(1, PIECES)], 2_000))
+    cuts = rows.groupBy("machine_id").agg(F.count("*").alias("_n"), cut_at.alias("_cuts")).where(F.col("_n") > HOT).drop("_n")
     piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("epoch_s"))), F.lit(0))
     rows = rows.join(cuts, "machine_id", "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(piece)).drop("_cuts")
     shard, within = F.floor(F.col("_piece") / SHARD).cast("int"), F.pmod("_piece", F.lit(SHARD))
