@@ -234,8 +234,8 @@ TEMPER = 3.0
 
 def _decide(logs: np.ndarray, chars: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """(language number or -1, confidence) of each row of log probabilities."""
-    if not len(logs):
-        return np.zeros(0, np.int64), np.zeros(0)
+    if not logs.size:  # no rows, or no languages
+        return np.full(len(logs), -1), np.zeros(len(logs))
     best = logs.argmax(1)
     top = logs[np.arange(len(logs)), best]
     confidence = 1 / np.exp((logs - top[:, None]) / TEMPER).sum(1)

@@ -8,14 +8,15 @@ rounding, and of one last batch per input partition.
 from __future__ import annotations
 
 import heapq
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Containers of a batch, and the share of their room that a batch's items may take.
-WIDTH, FILL = 256, 0.998
+#: Containers of a batch, and the share of its items' size that is left for the next batch, as far as possible in small
+#: items, which fill the room that large ones leave.
+WIDTH, SHED = 256, 0.04
 #: Items put back, while a batch is gathered, because they would overfill it.
 HELD = 256
 
@@ -63,19 +64,42 @@ def difference(sizes: list[int], k: int) -> tuple[list[list[int]], list[int]]:
     return windows, loads
 
 
+def settle(sizes: list[int], windows: list[list[int]], capacity: int) -> list[int]:
+    """Takes the smallest items out of windows that exceed capacity and puts each, largest first, where it leaves least room. Returns those that fit nowhere."""
+    out: list[int] = []
+    rooms: list[tuple[int, int]] = []
+    for w, items in enumerate(windows):
+        items.sort(key=sizes.__getitem__, reverse=True)
+        load = sum(sizes[i] for i in items)
+        while load > capacity:
+            load -= sizes[items[-1]]
+            out.append(items.pop())
+        rooms.append((capacity - load, w))
+    rooms.sort()
+    left = []
+    for i in sorted(out, key=sizes.__getitem__, reverse=True):
+        at = bisect_left(rooms, (sizes[i], -1))
+        if at == len(rooms):
+            left.append(i)
+            continue
+        room, w = rooms.pop(at)
+        windows[w].append(i)
+        insort(rooms, (room - sizes[i], w))
+    return left
+
+
 def windows_of(sizes: list[int], capacity: int, put_back: float = 0.0) -> tuple[list[list[int]], list[int]]:
     """(windows of at most capacity, items put back), both as item numbers; no size is greater than capacity.
 
-    The window count rises until capacity is exceeded in no more than the share put_back of the windows, whose items are
-    put back.
+    The window count rises until no more than the share put_back of the items fits nowhere.
     """
-    k = max(1, -(-sum(sizes) // capacity), sum(s * 2 > capacity for s in sizes))
+    k = max(1, -(-int(sum(sizes) * (1 - SHED * (put_back > 0))) // capacity), sum(s * 2 > capacity for s in sizes))
     while True:
-        windows, loads = difference(sizes, k)
-        over = [w for w, load in zip(windows, loads) if load > capacity]
-        if len(over) <= put_back * k:
-            return [w for w, load in zip(windows, loads) if load <= capacity], [i for w in over for i in w]
-        k += max(1, len(over) // 4)
+        windows = difference(sizes, k)[0]
+        left = settle(sizes, windows, capacity)
+        if len(left) <= put_back * len(sizes):
+            return [w for w in windows if w], left
+        k += max(1, sum(sizes[i] for i in left) // capacity)
 
 
 def pack(items: Iterable[tuple[int, object]], capacity: int) -> Iterator[list[tuple[int, object]]]:
@@ -83,7 +107,7 @@ def pack(items: Iterable[tuple[int, object]], capacity: int) -> Iterator[list[tu
 
     A batch's room is filled with the items put back before and then from the stream; what would overfill it waits.
     """
-    room = int(WIDTH * capacity * FILL)
+    room = WIDTH * capacity
     stream, more, held = iter(items), True, []
     while more or held:
         batch, total, kept = [], 0, []
