@@ -58,3 +58,9 @@ def trusted_events(events: DataFrame, *columns: str) -> DataFrame:
         F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), *[F.max(c).alias(c) for c in ("machine_id", "epoch_s", *columns)]
     )
     return one.where("_lo = _hi and epoch_s is not null").drop("_lo", "_hi")
+
+
+def landed_times(events: DataFrame) -> DataFrame:
+    """machine_id and epoch_s of every landed record, copies and contradictions included: what there is at least, read from two columns."""
+    rows = events.select(text_of(F.col("machine_id")).alias("machine_id"), epoch_of(F.col("event_ts")).alias("epoch_s"))
+    return rows.where("machine_id is not null and epoch_s is not null")

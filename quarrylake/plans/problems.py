@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions.reading import day_of
 from quarrylake.operators import anomalies, asof, delivery, history, intervals, malformed, rolling
-from quarrylake.operators.trusted import contradicting_ids, trusted_events
+from quarrylake.operators.trusted import contradicting_ids, landed_times, trusted_events
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.implausible_readings(trusted_events(_table(spark, sf_dir, "sample_machine_events"), *anomalies.READINGS))
+    landed = _table(spark, sf_dir, "sample_machine_events")
+    return anomalies.implausible_readings(trusted_events(landed, *anomalies.READINGS), times=landed_times(landed))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = history.usable_evidence(_table(spark, sf_dir, "machine_assignments"))
-    events = trusted_events(_table(spark, sf_dir, "sample_machine_events"), "site_id")
+    landed = _table(spark, sf_dir, "sample_machine_events")
+    events = trusted_events(landed, "site_id")
     events = events.join(history.disputed_machines(evidence), "machine_id", "left_anti")
     known = asof.as_known(events, evidence, "site_id")
     return known.where("known_site_id is not null and not (site_id <=> known_site_id)").select("event_id", F.col("known_site_id").alias("site_id"))
