@@ -12,13 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_known(events: DataFrame, evidence: DataFrame, value: str, shard_s: int = 7 * 86_400) -> DataFrame:
+def as_known(events: DataFrame, evidence: DataFrame, value: str, shard_s: int = 7 * 86_400, times: DataFrame | None = None) -> DataFrame:
     """events (with machine_id and epoch_s) and known_{value}: the value by evidence on hand then, NULL where there is none.
 
     evidence is what usable_evidence gives. It has a part from the later of its event_date's first instant and its
     _ingested_at on; without an _ingested_at it never became known. Evidence of the same instant as the event counts. If
     evidence of one day disagrees, the greater value stands (callers leave disputed machines out). Events are never
     dropped or repeated: those without machine_id or epoch_s get NULL. Columns of events keep their names and values.
+    times (machine_id, epoch_s) may name a superset of the events' times, where that can be read more cheaply than events.
     """
     columns = events.columns
     known_s = F.greatest(F.unix_date("event_date").cast("bigint") * 86_400 * 1_000_000, F.unix_micros(F.col("_ingested_at").cast("timestamp")))
@@ -38,7 +39,9 @@ def as_known(events: DataFrame, evidence: DataFrame, value: str, shard_s: int =
 
     # best evidence of each shard, then of all shards before: a row per machine and shard
     best = facts.groupBy("_m", "_shard").agg(F.max("_fact").alias("_fact"))
-    shards = best.unionByName(asked.where("_m is not null and _at is not null").select("_m", "_shard").distinct(), allowMissingColumns=True)
+    when = (events if times is None else times).select(F.col("machine_id").alias("_m"), (F.col("epoch_s") * 1_000_000).cast("bigint").alias("_at"))
+    asked_in = when.where("_m is not null and _at is not null").select("_m", shard).distinct()
+    shards = best.unionByName(asked_in, allowMissingColumns=True)
     shards = shards.groupBy("_m", "_shard").agg(F.max("_fact").alias("_fact"))
     before = F.max("_fact").over(W.partitionBy("_m").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1))
     carried = shards.select("_m", "_shard", before.alias("_fact"), F.lit(None).cast("bigint").alias("_at")).where("_fact is not null")

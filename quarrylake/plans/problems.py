@@ -46,7 +46,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = _table(spark, sf_dir, "sample_machine_events")
     events = trusted_events(landed, "site_id")
     events = events.join(history.disputed_machines(evidence), "machine_id", "left_anti")
-    known = asof.as_known(events, evidence, "site_id")
+    known = asof.as_known(events, evidence, "site_id", times=landed_times(landed))
     return known.where("known_site_id is not null and not (site_id <=> known_site_id)").select("event_id", F.col("known_site_id").alias("site_id"))
 
 
