@@ -23,19 +23,14 @@ def trailing_totals(amounts: DataFrame, entity: str, day: str, amount: str, peri
         .groupBy("_k", "_d")
         .agg(F.sum("_a").alias("_a"))
     )
-    zero = F.lit(0).cast("decimal(28,6)")
-    parts = [F.struct(F.col("_d").alias("d"), *[F.col("_a").alias(f"c{n}") for n in periods])]
-    for n in periods:
-        parts.append(F.struct(F.date_add("_d", n).alias("d"), *[(-F.col("_a") if m == n else zero).cast("decimal(28,6)").alias(f"c{m}") for m in periods]))
-    changes = daily.select("_k", F.explode(F.array(*parts)).alias("_c")).select("_k", "_c.*")
-    span = daily.groupBy("_k").agg(F.min("_d").alias("_from"), F.max("_d").alias("_to"))
-    calendar = span.select("_k", F.explode(F.sequence("_from", "_to")).alias("d"), *[zero.alias(f"c{n}") for n in periods], F.lit(True).alias("_in"))
-    per_day = (
-        changes.withColumn("_in", F.lit(False))
-        .unionByName(calendar)
-        .groupBy("_k", "d")
-        .agg(*[F.sum(f"c{n}").alias(f"c{n}") for n in periods], F.max("_in").alias("_in"))
-    )
+    # each day with an amount also makes the quiet days up to the next, so that all rows come from one reading of the amounts
+    daily = daily.withColumn("_next", F.lead("_d").over(W.partitionBy("_k").orderBy("_d")))
+    amount, zero = F.col("_a").cast("decimal(28,6)"), F.lit(0).cast("decimal(28,6)")
+    until = F.coalesce(F.date_sub("_next", 1), F.col("_d"))
+    adds = F.transform(F.sequence("_d", until), lambda d: F.struct(d.alias("d"), F.lit(True).alias("_in"), *[F.when(d == F.col("_d"), amount).otherwise(zero).alias(f"c{n}") for n in periods]))
+    takes = [F.struct(F.date_add("_d", n).alias("d"), F.lit(False).alias("_in"), *[(-amount if m == n else zero).alias(f"c{m}") for m in periods]) for n in periods]
+    changes = daily.select("_k", F.explode(F.concat(adds, F.array(*takes))).alias("_c")).select("_k", "_c.*")
+    per_day = changes.groupBy("_k", "d").agg(*[F.sum(f"c{n}").alias(f"c{n}") for n in periods], F.max("_in").alias("_in"))
     running = W.partitionBy("_k").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
     totals = per_day.select("_k", "d", "_in", *[F.sum(f"c{n}").over(running).alias(f"total_{n}d") for n in periods]).where("_in")
     return totals.select(
