@@ -262,15 +262,14 @@ def identify(documents: DataFrame, identifier: Identifier) -> DataFrame:
     return documents.select("doc_id", F.col("lang").alias("label"), "text").mapInArrow(run, OUT)
 
 
-_kept: dict[int, _Chunks] = {}
+_kept: list[tuple[Identifier, _Chunks]] = []
 
 
 def _identify(batch: pa.RecordBatch, shared: Broadcast) -> pa.RecordBatch:
     it: Identifier = shared.value
-    chunks = _kept.get(id(it))
-    if chunks is None or len(chunks) > MAX_CHUNKS:
-        _kept.clear()
-        chunks = _kept[id(it)] = _Chunks(it.models)
+    if not _kept or _kept[0][0] is not it or len(_kept[0][1]) > MAX_CHUNKS:
+        _kept[:] = [(it, _Chunks(it.models))]
+    chunks = _kept[0][1]
     rows: list[int] = []
     line_ends: list[int] = []
     doc_ends: list[int] = []
