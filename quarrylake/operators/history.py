@@ -79,6 +79,66 @@ def assignment_history(assignments: DataFrame) -> DataFrame:
     return rebuild_touched(build_chains(evidence.where(~is_late)), evidence, evidence.where(is_late))
 
 
+def with_sources(chains: DataFrame, assignments: DataFrame) -> DataFrame:
+    """chains with assignment_evidence_source_count: over a version's days, the sources that each day's evidence has, summed."""
+    texts = ("machine_id", *IDENTITY)
+    rows = assignments.select(F.col("event_date").cast("date").alias("_d"), *[text_of(F.col(c)).alias(c) for c in texts], text_of(F.col("assignment_evidence_source")).alias("_source"))
+    days = rows.where(" and ".join(f"{c} is not null" for c in ("_d", *texts))).groupBy(F.col("machine_id").alias("_m"), "_d").agg(F.count_distinct("_source").alias("_n"))
+    within = (F.col("machine_id") == F.col("_m")) & (F.col("_d") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("_d") <= F.col("effective_to")))
+    joined = chains.join(days, within, "left")
+    return joined.groupBy(*chains.columns).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("assignment_evidence_source_count"))
+
+
+def resolve(events: DataFrame, chains: DataFrame) -> DataFrame:
+    """events (with machine_id and event_date) and resolution_status, match_count, resolved_client_id, resolved_site_id, resolved_model.
+
+    resolved: one version is in effect that day; unresolved: none; ambiguous: several, which audit would have told. No
+    event is dropped or repeated: a machine's versions, bounded by its days, meet its events as one array.
+    """
+    version = F.struct("effective_from", "effective_to", *IDENTITY)
+    versions = chains.groupBy(F.col("machine_id").alias("_m")).agg(F.collect_list(version).alias("_versions"))
+    joined = events.join(versions, events["machine_id"] == F.col("_m"), "left")
+    holds = lambda v: (v["effective_from"] <= F.col("event_date")) & (v["effective_to"].isNull() | (v["effective_to"] >= F.col("event_date")))
+    matched = joined.withColumn("_match", F.coalesce(F.filter("_versions", holds), F.array().cast(joined.schema["_versions"].dataType)))
+    n = F.size("_match")
+    one = lambda c: F.when(n == 1, F.get("_match", F.lit(0))[c])
+    return matched.select(
+        *[events[c] for c in events.columns],
+        F.when(n == 1, "resolved").when(n == 0, "unresolved").otherwise("ambiguous").alias("resolution_status"),
+        n.alias("match_count"),
+        *[one(c).alias(f"resolved_{c}") for c in IDENTITY],
+    )
+
+
+def audit(chains: DataFrame) -> DataFrame:
+    """finding, observed_count of a history: blank identities, repeated grain, ranges that end before they begin or overlap, and machines without exactly one current version. One window, one aggregation."""
+    w = W.partitionBy("machine_id").orderBy("effective_from", F.col("effective_to").asc_nulls_last())
+    reach = F.max(F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    blank = F.lit(False)
+    for c in ("machine_id", *IDENTITY):
+        blank = blank | F.coalesce(F.trim(c) == "", F.lit(True))
+    rows = chains.select(
+        "machine_id",
+        (blank | F.col("effective_from").isNull()).alias("identity"),
+        (F.lag("effective_from").over(w) == F.col("effective_from")).alias("repeated"),
+        (F.col("effective_to") < F.col("effective_from")).alias("backwards"),
+        (F.col("effective_from") <= reach).alias("overlaps"),
+        (F.col("is_current") == F.col("effective_to").isNull()).alias("flag_fits"),
+        F.col("is_current").cast("int").alias("current"),
+    )
+    per_machine = rows.groupBy("machine_id").agg(
+        *[F.count_if(c).alias(c) for c in ("identity", "repeated", "backwards", "overlaps")], F.count_if(~F.col("flag_fits")).alias("misfits"), F.sum("current").alias("current")
+    )
+    one = per_machine.agg(
+        F.sum("repeated").alias("assignment_history_grain_duplicate"),
+        F.sum("identity").alias("assignment_history_identity_missing"),
+        F.sum("overlaps").alias("assignment_history_range_overlap"),
+        F.count_if((F.col("current") != 1) | (F.col("misfits") > 0)).alias("assignment_history_current_member_invalid"),
+        F.sum("backwards").alias("assignment_history_range_invalid"),
+    )
+    return one.unpivot([], one.columns, "finding", "observed_count").withColumn("observed_count", F.coalesce("observed_count", F.lit(0)))
+
+
 class ChainStore:
     """Chains in buckets of entities on shared storage; a rebuild rewrites the touched buckets and shows them in one step.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.operators import checks, forecast, medallion, star
+from quarrylake.operators import checks, conformance, forecast, history, medallion, star
 from quarrylake.plans import reports
 from quarrylake.plans.frames import Frames
 from quarrylake.sources.landing import ingestion_coverage
@@ -60,6 +60,10 @@ def _quality(f: Frames) -> DataFrame:
 
 TABLES |= {
     "ingestion_coverage": lambda f: ingestion_coverage(f.bronze),
+    "landing_conformance": lambda f: conformance.findings(f.bronze),
+    "assignment_history": lambda f: history.with_sources(history.assignment_history(f.assignments), f.assignments),
+    "assignment_resolution": lambda f: history.resolve(f.silver.select("event_id", "machine_id", "event_date"), history.assignment_history(f.assignments)),
+    "assignment_audit": lambda f: history.audit(history.assignment_history(f.assignments)),
     "forecast_validation": lambda f: forecast.validation(f.daily, *FORECAST),
     "forecast_downtime": lambda f: forecast.forecast(f.daily, *FORECAST),
     "forecast_diagnostics": lambda f: forecast.diagnostics(forecast.validation(f.daily, *FORECAST)),

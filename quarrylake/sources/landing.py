@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from dataclasses import dataclass
@@ -52,6 +53,24 @@ def land(source: str, folder: str, replay_id: str | None = None) -> str:
     return target
 
 
+def plan(sources: list[str], replay_id: str | None = None, max_files: int = 20, max_bytes: int = 10 << 20, max_total: int = 50 << 20) -> dict:
+    """What would land: each source with its target name and size, and an id that equal plans share. Raises beyond the bounds, on links, and where two sources are one content."""
+    entries = []
+    for path in sources:
+        if os.path.islink(path) or not os.path.isfile(path):
+            raise ValueError(f"{path} is no regular file")
+        with open(path, "rb") as f:
+            content = f.read(max_bytes + 1)
+        if len(content) > max_bytes:
+            raise ValueError(f"{path} is larger than {max_bytes} bytes")
+        entries.append({"source": path, "name": object_name(content, replay_id), "bytes": len(content)})
+    entries.sort(key=lambda e: e["name"])
+    if len(entries) > max_files or sum(e["bytes"] for e in entries) > max_total or len({e["name"] for e in entries}) < len(entries):
+        raise ValueError("too many files, too many bytes, or one content twice")
+    identity = json.dumps([[e["name"], e["bytes"]] for e in entries], separators=(",", ":"))
+    return {"plan_id": hashlib.sha256(identity.encode()).hexdigest(), "files": entries}
+
+
 def unmanaged(spark: SparkSession, folder: str) -> DataFrame:
     """path of files in the landing folder whose name or content is not what it says; contents are hashed where they lie."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder)

@@ -192,6 +192,11 @@ def test_landing_and_incremental_ingestion(spark, tmp_path):
     path = landing.land(str(source), str(folder))
     assert landing.land(str(source), str(folder)) == path  # the same content lands once
     assert landing.parse_name(os.path.basename(path)).mode == "incremental" and landing.parse_name("events.csv") is None
+    planned = landing.plan([str(source)])
+    assert planned == landing.plan([str(source)]) and planned["files"][0]["name"] == os.path.basename(path)
+    for bad in ([str(source), str(source)], [str(tmp_path)]):
+        with pytest.raises(ValueError):
+            landing.plan(bad)
     places = [str(tmp_path / n) for n in ("bronze", "checkpoint")]
     ingest(spark, str(folder), *places).awaitTermination()
     ingest(spark, str(folder), *places).awaitTermination()
@@ -206,3 +211,31 @@ def test_landing_and_incremental_ingestion(spark, tmp_path):
     (folder / "other.csv").write_text("x")
     assert landing.unmanaged(spark, str(folder)).count() == 1
     assert landing.read_csv(spark, str(folder)).where("event_id like 'E%'").count() == 3
+
+
+def test_conformance(spark):
+    from quarrylake.operators.conformance import findings
+
+    rows = [row(1), row(1), row(2), row(2, status="x"), row(3, event_ts="2026-04-02T08:00:00+01:00", hour_meter="-1", fuel_level_pct="101", duration_minutes="007", downtime_minutes="9999999999", temperature_c="hot", machine_id=" ")]
+    got = {(r["code"], r["column"]): r.observed_count for r in findings(spark.createDataFrame(rows, EVENTS)).collect()}
+    assert got == {
+        ("required_key_missing", "machine_id"): 1, ("utc_timestamp_invalid", "event_ts"): 1, ("decimal_invalid", "temperature_c"): 1, ("integer_format_invalid", "duration_minutes"): 1,
+        ("integer_range_violation", "downtime_minutes"): 1, ("non_negative_violation", "hour_meter"): 1, ("fuel_range_violation", "fuel_level_pct"): 1,
+        ("replay_duplicate", "event_id"): 1, ("conflicting_duplicate", "event_id"): 1,
+    }
+    assert findings(spark.createDataFrame([], EVENTS)).collect() == []
+
+
+def test_resolution_and_history_audit(spark):
+    from quarrylake.operators.history import audit, resolve
+
+    day = lambda d: date(2026, 4, d)
+    chains = "machine_id string, effective_from date, effective_to date, is_current boolean, version int, client_id string, site_id string, model string"
+    good = [("M1", day(1), day(4), False, 1, "C", "S1", "X"), ("M1", day(5), None, True, 2, "C", "S2", "X")]
+    bad = [("M2", day(1), None, True, 1, "C", "S1", "X"), ("M2", day(3), day(2), False, 2, "C", " ", "X"), ("M2", day(3), None, True, 3, "C", "S3", "X")]
+    counts = lambda rows: {r.finding.removeprefix("assignment_history_"): r.observed_count for r in audit(spark.createDataFrame(rows, chains)).collect()}
+    assert set(counts(good).values()) == {0} and set(counts([]).values()) == {0}
+    assert counts(bad) == {"grain_duplicate": 1, "identity_missing": 1, "range_overlap": 2, "current_member_invalid": 1, "range_invalid": 1}
+    events = spark.createDataFrame([("a", "M1", day(4)), ("b", "M1", day(9)), ("c", "M1", date(2026, 3, 30)), ("d", "M2", day(9)), ("e", None, day(1)), ("f", "M1", None)], "event_id string, machine_id string, event_date date")
+    got = {r.event_id: (r.resolution_status, r.match_count, r.resolved_site_id) for r in resolve(events, spark.createDataFrame(good + bad, chains)).collect()}
+    assert got == {"a": ("resolved", 1, "S1"), "b": ("resolved", 1, "S2"), "c": ("unresolved", 0, None), "d": ("ambiguous", 2, None), "e": ("unresolved", 0, None), "f": ("unresolved", 0, None)}
