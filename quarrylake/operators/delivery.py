@@ -1,7 +1,7 @@
 """Exactly one copy of each message that was delivered at least once.
 
 Identifiers that a producer numbers (`E000007840`) are kept as disjoint ranges of numbers seen, not as a list of keys: a
-number outside the ranges is accepted once and merged into them. Other identifiers are looked up by key.
+number outside the ranges is accepted once and merged into them. Other identifiers are looked up by their exact key.
 
 The number space of a producer is cut into blocks, each with ranges of its own, so that a busy producer spreads over the
 cluster. Deliveries are judged twice: where they lie first, so that a message delivered very often sends one row per
@@ -54,33 +54,53 @@ class Ranges:
         self.lo, self.hi = lo[first], hi[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)] if len(lo) else hi
 
 
+#: Marks the producer of an identifier that isn't numbered: the identifier itself, with the only number 0.
+_KEYED = "="
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets _again on numbers that the ranges cover already. Rows come by producer and block, ranges seen before first, then deliveries by preference."""
-    at, seen = None, Ranges()
+    """Sets _again on numbers that the ranges cover already; rows that have it pass.
+
+    Rows come by producer and block, ranges seen before first, then deliveries by preference. Of a keyed identifier the
+    first is kept.
+    """
+    at, seen, last = None, Ranges(), None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        key = batch.column("_producer").dictionary_encode()
-        code, names, block = key.indices.to_numpy(), key.dictionary.to_pylist(), batch.column("_block").to_numpy()
-        number, until = batch.column("_number").to_numpy(), batch.column("_until").to_numpy()
-        again = np.zeros(n, bool)
-        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1
-        for a, z in zip(np.r_[0, cuts], np.r_[cuts, n]):
-            if (here := (names[code[a]], block[a])) != at:
-                at, seen = here, Ranges()
-            old = until[a:z] >= 0
-            if old.any():
-                seen.add(number[a:z][old], until[a:z][old])
-            x = number[a:z]
-            covered = seen.cover(x)
-            first = np.zeros(z - a, bool)
-            fresh = np.flatnonzero(~old)
-            first[fresh[np.unique(x[fresh], return_index=True)[1]]] = True
-            again[a:z] = ~old & (covered | ~first)
-            new = np.sort(x[first & ~covered])
-            if len(new):
-                seen.add(new, new)
+        again = batch.column("_again").to_numpy(zero_copy_only=False).copy()
+        open_rows = np.flatnonzero(~again)
+        if len(open_rows):
+            rows = batch if len(open_rows) == n else batch.take(pa.array(open_rows))
+            key = rows.column("_producer").dictionary_encode()
+            code, names = key.indices.to_numpy(), key.dictionary.to_pylist()
+            by_key = np.array([x[0] == _KEYED for x in names])[code]
+            block, number, until = (rows.column(c).to_numpy() for c in ("_block", "_number", "_until"))
+            repeat = np.zeros(len(code), bool)
+            repeat[1:] = code[1:] == code[:-1]
+            repeat[0] = names[code[0]] == last
+            last = names[code[-1]]
+            judged = by_key & repeat
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1
+            starts = np.r_[0, cuts]
+            ends = np.r_[cuts, len(code)]
+            for a, z in zip(starts[~by_key[starts]], ends[~by_key[starts]]):
+                if (here := (names[code[a]], block[a])) != at:
+                    at, seen = here, Ranges()
+                old = until[a:z] >= 0
+                if old.any():
+                    seen.add(number[a:z][old], until[a:z][old])
+                x = number[a:z]
+                covered = seen.cover(x)
+                first = np.zeros(z - a, bool)
+                fresh = np.flatnonzero(~old)
+                first[fresh[np.unique(x[fresh], return_index=True)[1]]] = True
+                judged[a:z] = ~old & (covered | ~first)
+                new = np.sort(x[first & ~covered])
+                if len(new):
+                    seen.add(new, new)
+            again[open_rows] = judged
         yield batch.set_column(batch.schema.get_field_index("_again"), "_again", pa.array(again))
 
 
@@ -95,30 +115,24 @@ def judge_deliveries(rows: DataFrame, key: str, prefer: list[str], seen: DataFra
     seen (producer, first, last) are ranges taken in before: deliveries within them are all again. Keys are compared
     without surrounding blanks; a delivery without key can't be known again and is left out. An empty table gives an
     empty table.
+
+    Deliveries that are judged again where they lie go to any task of the second pass, the others to that of their block.
     """
     base = rows.select(text_of(F.col(key)).alias(key), *prefer).where(F.col(key).isNotNull())
-    base = base.withColumn("_producer", producer_of(F.col(key)))
+    producer, number = producer_of(F.col(key)), F.coalesce(number_in(F.col(key)), F.lit(0))
+    base = base.withColumns({"_producer": F.coalesce(producer, F.concat(F.lit(_KEYED), key)), "_number": number})
+    base = base.withColumns({"_block": F.expr(f"_number div {BLOCK}"), "_until": F.lit(-1).cast("bigint"), "_again": F.lit(False)})
     order = [F.col(c).desc_nulls_last() for c in prefer]
-
-    numbered = base.where("_producer is not null").withColumn("_number", number_in(F.col(key)))
-    numbered = numbered.withColumns({"_block": F.expr(f"_number div {BLOCK}"), "_until": F.lit(-1).cast("bigint"), "_again": F.lit(False)})
-    here = _pass(numbered, *order)
-    rest = here.where("not _again")
+    here = _pass(base, *order)
     if seen is not None:
         block = F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"last div {BLOCK}")))
         old = seen.select(F.col("producer").alias("_producer"), "first", "last", block.alias("_block")).select(
             "_producer", "_block", F.greatest("first", F.col("_block") * BLOCK).alias("_number"), F.least("last", (F.col("_block") + 1) * BLOCK - 1).alias("_until")
         )
-        rest = rest.unionByName(old.withColumn("_again", F.lit(False)), allowMissingColumns=True)
-    across = _pass(rest.repartition("_producer", "_block"), *order).where("_until < 0")
-
-    # any other identifier: looked up by its key, combined before the shuffle as well
-    other = base.where("_producer is null")
-    best = other.groupBy(key).agg(F.max(F.struct(*prefer)).alias("_best"))
-    other = other.join(best, key).withColumn("_again", ~F.struct(*prefer).eqNullSafe(F.col("_best")))
-
-    keep = [key, *prefer, F.col("_again").alias("again")]
-    return here.where("_again").select(*keep).unionByName(across.select(*keep)).unionByName(other.select(*keep))
+        here = here.unionByName(old.withColumn("_again", F.lit(False)), allowMissingColumns=True)
+    place = F.when(F.col("_again"), F.xxhash64(key, *prefer)).otherwise(F.xxhash64("_producer", "_block"))
+    judged = _pass(here.withColumn("_place", place).repartition("_place"), *order).where("_until < 0")
+    return judged.select(key, *prefer, F.col("_again").alias("again"))
 
 
 def seen_ranges(accepted: DataFrame, key: str, seen: DataFrame | None = None) -> DataFrame:
