@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylake.functions.shipping import shipped
+
 
 @dataclass(frozen=True)
 class Reading:
@@ -258,4 +260,4 @@ def implausible_readings(events: DataFrame, fields: tuple[str, ...] = tuple(READ
     )
     spread = rows.select("event_id", "machine_id", "epoch_s", *fields, F.explode(places).alias("_place"))
     spread = spread.select("event_id", "machine_id", "epoch_s", *fields, "_place._shard", "_place._own").repartition("machine_id", "_shard")
-    return spread.sortWithinPartitions("machine_id", "_shard", "epoch_s", "event_id").mapInArrow(_flag(list(fields)), OUT)
+    return shipped(spread).sortWithinPartitions("machine_id", "_shard", "epoch_s", "event_id").mapInArrow(_flag(list(fields)), OUT)

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.functions.reading import text_of
+from quarrylake.functions.shipping import shipped
 
 BLOCK = 1 << 16
 _NUMBERED = r"\A([A-Za-z][A-Za-z_-]{0,15})([0-9]{1,18})\z"
@@ -105,7 +106,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pass(rows: DataFrame, *prefer: Column) -> DataFrame:
-    return rows.sortWithinPartitions("_producer", "_block", F.col("_until").desc(), *prefer).mapInArrow(_judge, rows.schema)
+    return shipped(rows).sortWithinPartitions("_producer", "_block", F.col("_until").desc(), *prefer).mapInArrow(_judge, rows.schema)
 
 
 def judge_deliveries(rows: DataFrame, key: str, prefer: list[str], seen: DataFrame | None = None) -> DataFrame:
