@@ -23,6 +23,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylake.functions.shipping import shipped
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: What encodings don't cross: contractions, letters, numbers, other signs (each with a blank before it), white space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -207,7 +209,7 @@ def token_ids(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> Dat
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return shipped(documents).select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -219,4 +221,4 @@ def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) ->
             counts = [len(e) // 4 for e in _encoded(batch.column(1), _here(shared))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens int")
+    return shipped(documents).select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens int")

@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylake.functions.shipping import shipped
+
 ORDER = 6
 #: Weight of a text's main language for each of its lines, and of all others together.
 MAIN = 0.7
@@ -259,7 +261,7 @@ def identify(documents: DataFrame, identifier: Identifier) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 yield _identify(batch.slice(at, 1000), shared)
 
-    return documents.select("doc_id", F.col("lang").alias("label"), "text").mapInArrow(run, OUT)
+    return shipped(documents).select("doc_id", F.col("lang").alias("label"), "text").mapInArrow(run, OUT)
 
 
 _kept: list[tuple[Identifier, _Chunks]] = []

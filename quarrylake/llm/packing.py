@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarrylake.functions.shipping import shipped
+
 #: Containers of a batch, and the share of its items' size that is left for the next batch, as far as possible in small
 #: items, which fill the room that large ones leave.
 WIDTH, SHED = 256, 0.04
@@ -161,7 +163,7 @@ def containers(sized: DataFrame, capacity: int = 2048) -> DataFrame:
         if rows:
             yield out(rows)
 
-    return sized.select("doc_id", "n_tokens").mapInArrow(run, "doc_id bigint, piece_no int, start_token int, n_tokens int, container string")
+    return shipped(sized).select("doc_id", "n_tokens").mapInArrow(run, "doc_id bigint, piece_no int, start_token int, n_tokens int, container string")
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("container", pa.string())])
