@@ -15,16 +15,19 @@ from quarrylake.contracts import EVENT_FIELDS
 from quarrylake.functions.reading import epoch_of, minutes_of, number_of, text_of
 
 
-def _same(text: Column, read: Column | None = None) -> Column:
-    """Text that is equal where values are. Never NULL: a hash would skip it."""
-    bare = F.coalesce(F.lower(F.trim(text)), F.lit(""))
-    return bare if read is None else F.coalesce(read.cast("string"), bare)
+def _value(name: str, kind: str) -> Column:
+    """What is hashed of a column: the value it denotes, or where it doesn't read a hash of its text. Never NULL: a hash would skip it."""
+    text = F.coalesce(F.lower(F.trim(F.col(name))), F.lit(""))
+    if kind == "text":
+        return text
+    if kind == "instant":
+        return F.coalesce(epoch_of(F.col(name)), F.xxhash64(text))
+    return F.coalesce(number_of(F.col(name)), F.xxhash64(text).cast("double"))
 
 
 def payload_hash() -> Column:
     """64 bits over what copies must agree on."""
-    read = {"text": lambda c: None, "instant": epoch_of}
-    return F.xxhash64(*[_same(F.col(f.name), read.get(f.kind, number_of)(F.col(f.name))) for f in EVENT_FIELDS if f.name != "event_id"])
+    return F.xxhash64(*[_value(f.name, f.kind) for f in EVENT_FIELDS if f.name != "event_id"])
 
 
 def contradicting_ids(events: DataFrame) -> DataFrame:
