@@ -25,29 +25,45 @@ def observations(uptime: DataFrame, failures: DataFrame) -> DataFrame:
     return uptime.select("event_date", "machine_id", *PLACE).unionByName(failures.select("event_date", "machine_id", *PLACE)).distinct()
 
 
-def unsettled_machines(seen: DataFrame) -> DataFrame:
-    """machine_id of machines that lack an attribute, or have two sets of them on one day: their facts have no version to refer to."""
+def unsettled_days(seen: DataFrame) -> DataFrame:
+    """machine_id, event_date, attribute_sets, lacks_attribute of machine-days with several sets of attributes or without one of them."""
     lacking = F.lit(False)
     for c in ("machine_id", *PLACE):
         lacking = lacking | blank(F.col(c))
-    days = seen.groupBy("machine_id", "event_date").agg(F.count("*").alias("n"), F.max(lacking).alias("lacking"))
-    return days.where("n > 1 or lacking").select("machine_id").distinct()
+    days = seen.groupBy("machine_id", "event_date").agg(F.count("*").alias("attribute_sets"), F.max(lacking).alias("lacks_attribute"))
+    return days.where("attribute_sets > 1 or lacks_attribute")
+
+
+def unsettled_machines(seen: DataFrame) -> DataFrame:
+    """machine_id of machines that lack an attribute, or have two sets of them, on some day."""
+    return unsettled_days(seen).select("machine_id").distinct()
+
+
+def _hash(*names: str) -> Column:
+    """64 bits over columns. A NULL counts by its place: xxhash64 alone skips it."""
+    return F.xxhash64(*[c for n in names for c in (F.col(n), F.col(n).isNull())])
 
 
 def machine_versions(seen: DataFrame) -> DataFrame:
-    """dim_machine: a version begins where a machine's attributes differ from the day seen before."""
+    """dim_machine: versions begin where a machine's attributes differ from the day seen before, one for each set of them that the day has.
+
+    Versions of one machine overlap only where its days have several sets; is_ambiguous marks these. A missing attribute stays NULL.
+    """
     w = W.partitionBy("machine_id").orderBy("event_date")
-    place = F.struct(*PLACE)
-    starts = seen.withColumn("_before", F.lag(place).over(w)).where(F.col("_before").isNull() | ~place.eqNullSafe(F.col("_before")))
-    following = F.lead("event_date").over(w)
-    return starts.select(
-        F.xxhash64("machine_id", "event_date").alias("machine_key"),
+    days = seen.groupBy("machine_id", "event_date").agg(F.sort_array(F.collect_set(F.struct(*PLACE))).alias("_sets"))
+    before = days.withColumn("_before", F.lag("_sets").over(w))
+    starts = before.where(F.col("_before").isNull() | ~F.col("_sets").eqNullSafe(F.col("_before"))).withColumn("_next", F.lead("event_date").over(w))
+    runs = starts.select("machine_id", "event_date", "_next", (F.size("_sets") > 1).alias("is_ambiguous"), F.explode("_sets").alias("_set"))
+    sets = runs.select("machine_id", "event_date", "_next", "is_ambiguous", *[F.col(f"_set.{c}").alias(c) for c in PLACE])
+    return sets.select(
+        _hash("machine_id", "event_date", *PLACE).alias("machine_key"),
         "machine_id",
         *PLACE,
-        F.row_number().over(w).alias("assignment_version"),
+        F.row_number().over(W.partitionBy("machine_id").orderBy("event_date", *PLACE)).alias("assignment_version"),
         F.col("event_date").alias("valid_from_date"),
-        F.date_sub(following, 1).alias("valid_to_date"),
-        following.isNull().alias("is_current"),
+        F.date_sub("_next", 1).alias("valid_to_date"),
+        F.col("_next").isNull().alias("is_current"),
+        "is_ambiguous",
     )
 
 
@@ -73,20 +89,23 @@ def calendar(first_last: DataFrame) -> DataFrame:
 
 
 def _with_version(source: DataFrame, machines: DataFrame) -> DataFrame:
-    """source with the machine_key of the version valid on its day: a range within each machine's few versions."""
-    m = machines.select(F.col("machine_id").alias("_m"), "machine_key", "valid_from_date", "valid_to_date")
-    on = (F.col("machine_id") == F.col("_m")) & (F.col("event_date") >= F.col("valid_from_date"))
+    """source with the machine_key of the version with its attributes that is valid on its day: a range within each machine's few versions."""
+    names = ("machine_id", *PLACE)
+    m = machines.select(*[F.col(c).alias(f"_{c}") for c in names], "machine_key", "valid_from_date", "valid_to_date")
+    on = F.col("event_date") >= F.col("valid_from_date")
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     on = on & (F.col("valid_to_date").isNull() | (F.col("event_date") <= F.col("valid_to_date")))
-    return source.join(m, on, "left").drop("_m", "valid_from_date", "valid_to_date")
+    return source.join(m, on, "left").drop(*[f"_{c}" for c in names], "valid_from_date", "valid_to_date")
 
 
 def _keys() -> list[Column]:
     return [
         day_key("event_date").alias("date_key"),
-        F.xxhash64("client_id").alias("client_key"),
+        _hash("client_id").alias("client_key"),
         "machine_key",
-        F.xxhash64("model").alias("model_key"),
-        F.xxhash64("client_id", "site_id").alias("site_key"),
+        _hash("model").alias("model_key"),
+        _hash("client_id", "site_id").alias("site_key"),
     ]
 
 
@@ -103,15 +122,16 @@ class Star:
 
 
 def build_star(uptime: DataFrame, failures: DataFrame) -> Star:
-    """The star of all machines whose attributes are settled; which aren't is for unsettled_machines to tell. No identity is invented."""
-    unsettled = unsettled_machines(observations(uptime, failures))
-    uptime, failures = (df.join(unsettled, "machine_id", "left_anti") for df in (uptime, failures))
+    """The star of every row of the marts. No identity is invented: a missing attribute is a member of its own, NULL.
+
+    Days on which a machine's attributes aren't settled are for is_ambiguous and unsettled_days to tell.
+    """
     seen = observations(uptime, failures)
     machines = machine_versions(seen)
     minutes = ("running_minutes", "idle_minutes", "maintenance_minutes", "downtime_minutes", "observed_minutes")
     percent = {"idle_pct": "idle_minutes", "downtime_pct": "downtime_minutes", "maintenance_pct": "maintenance_minutes"}
     daily = _with_version(uptime, machines).select(
-        F.xxhash64("event_date", "machine_id").alias("uptime_fact_key"),
+        _hash("event_date", "machine_id", *PLACE).alias("uptime_fact_key"),
         "event_date",
         *_keys(),
         *minutes,
@@ -128,7 +148,7 @@ def build_star(uptime: DataFrame, failures: DataFrame) -> Star:
         "event_date",
         "event_ts_utc",
         *_keys(),
-        F.xxhash64("fault_code", "severity").alias("fault_key"),
+        _hash("fault_code", "severity").alias("fault_key"),
         F.lit(1).alias("failure_event_count"),
         "temperature_c",
         "vibration_mm_s",
@@ -142,12 +162,12 @@ def build_star(uptime: DataFrame, failures: DataFrame) -> Star:
         rank = F.when(F.col("severity") == name, value).otherwise(rank)
     faults = failures.select("fault_code", "severity").distinct()
     return Star(
-        dim_client=seen.select("client_id").distinct().select(F.xxhash64("client_id").alias("client_key"), "client_id"),
+        dim_client=seen.select("client_id").distinct().select(_hash("client_id").alias("client_key"), "client_id"),
         dim_date=calendar(seen.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last"))),
-        dim_fault=faults.select(F.xxhash64("fault_code", "severity").alias("fault_key"), "fault_code", "severity", rank.alias("severity_rank")),
+        dim_fault=faults.select(_hash("fault_code", "severity").alias("fault_key"), "fault_code", "severity", rank.alias("severity_rank")),
         dim_machine=machines,
-        dim_model=seen.select("model").distinct().select(F.xxhash64("model").alias("model_key"), "model"),
-        dim_site=seen.select("site_id", "client_id").distinct().select(F.xxhash64("client_id", "site_id").alias("site_key"), "site_id", "client_id"),
+        dim_model=seen.select("model").distinct().select(_hash("model").alias("model_key"), "model"),
+        dim_site=seen.select("site_id", "client_id").distinct().select(_hash("client_id", "site_id").alias("site_key"), "site_id", "client_id"),
         fact_machine_failure_event=events,
         fact_machine_uptime_daily=daily,
     )

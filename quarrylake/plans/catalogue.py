@@ -27,7 +27,7 @@ TABLES: dict[str, Callable[[Frames], DataFrame]] = {
     "mart_failure_events": lambda f: f.failures,
     "mart_maintenance_costs": lambda f: f.costs,
     "mart_parts_usage": lambda f: f.parts,
-    "dim_machine": lambda f: f.star.dim_machine.drop("machine_key"),
+    "dim_machine": lambda f: f.star.dim_machine.drop("machine_key", "is_ambiguous"),
     "dim_date": lambda f: f.star.dim_date,
     "dim_fault": lambda f: f.star.dim_fault.drop("fault_key"),
     "dim_site": lambda f: f.star.dim_site.drop("site_key"),
@@ -38,6 +38,7 @@ TABLES: dict[str, Callable[[Frames], DataFrame]] = {
         "event_id", "event_date", "event_ts_utc", "client_id", "site_id", "machine_id", "model", "fault_code", "severity", "severity_rank", "downtime_minutes", "maintenance_cost_gbp", "part_code", "part_quantity"
     ),
     "star_unsettled_machines": lambda f: star.unsettled_machines(star.observations(f.uptime, f.failures)),
+    "star_unsettled_days": lambda f: star.unsettled_days(star.observations(f.uptime, f.failures)),
     "star_audit": lambda f: star.audit(f.star, *f.staged),
     "star_identity_differences": lambda f: star.identity_differences(f.star, *f.staged),
     "star_measure_differences": lambda f: star.measure_differences(f.star, *f.staged),

@@ -115,6 +115,22 @@ def test_unsettled_machines_stay_out(spark):
     assert {r.machine_id for r in star.unsettled_machines(star.observations(up, up)).collect()} == {"M1", "M2"}
 
 
+def test_star_keeps_every_row(spark):
+    place = [("M1", "S1", "X"), ("M1", "S2", "X"), ("M2", "S1", None)]
+    rows = [row(i, m, site_id=s, model=x, status="FAULT", fault_code="HYD", severity="high") for i, (m, s, x) in enumerate(place)]
+    rows += [row(i, "M1", model="X", event_ts=f"2026-04-0{d}T08:00:00Z") for i, d in ((7, 1), (8, 3))]
+    silver = medallion.silver(spark.createDataFrame(rows, EVENTS))
+    uptime, failures = marts.machine_uptime(silver), marts.failure_events(silver)
+    s = star.build_star(uptime, failures)
+    versions = [(r.machine_id, r.site_id, r.valid_from_date.day, r.valid_to_date and r.valid_to_date.day, r.is_ambiguous) for r in s.dim_machine.orderBy("machine_id", "assignment_version").collect()]
+    days = [("M1", "S1", 1, 1, False), ("M1", "S1", 2, 2, True), ("M1", "S2", 2, 2, True), ("M1", "S1", 3, None, False), ("M2", "S1", 2, None, False)]
+    assert versions == days
+    for fact, source, names in (("fact_machine_uptime_daily", uptime, ["event_date", "machine_id", *star.PLACE]), ("fact_machine_failure_event", failures, ["event_id", "event_date", "machine_id", *star.PLACE])):
+        got = sorted(map(tuple, star.natural(s, fact).select(*names).collect()), key=str)
+        assert got == sorted(map(tuple, source.select(*names).collect()), key=str)
+    assert {(r.machine_id, r.attribute_sets, r.lacks_attribute) for r in star.unsettled_days(star.observations(uptime, failures)).collect()} == {("M1", 2, False), ("M2", 1, True)}
+
+
 DAYS = "event_date date, site_id string, client_id string, machine_id string, model string, downtime_minutes bigint, uptime_pct double, avg_health_score double"
 
 
