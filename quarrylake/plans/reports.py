@@ -293,6 +293,7 @@ def site_reliability_benchmark(f: Frames) -> DataFrame:
 
 
 def _failure_facts(f: Frames) -> DataFrame:
+    """All failure events with natural keys, those of machines on unsettled days too: as many as the failure mart has."""
     return natural(f.star, "fact_machine_failure_event")
 
 

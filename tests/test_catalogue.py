@@ -175,6 +175,17 @@ def test_reports_can_be_ordered(spark, data):
     assert {r.__name__ for r in reports.REPORTS} == {n.removeprefix("report_") for n in __spark_entry__.queries() if n.startswith("report_")}
 
 
+def test_failure_reports_count_every_failure(spark):
+    rows = [row(i, m, site_id=s, model=x, status="FAULT", fault_code="HYD", severity="high", part_code="pump", part_quantity="1") for i, (m, s, x) in enumerate([("M1", "S1", "X"), ("M1", "S2", "X"), ("M2", "S1", None), ("M3", "S1", "X")])]
+    frames = Frames(spark, "")
+    frames.__dict__["bronze"] = spark.createDataFrame(rows, EVENTS)
+    for r, count in (
+        (reports.failure_events_by_fault, "failure_event_count"), (reports.machine_fault_recurrence, "observed_failure_event_count"), (reports.machine_part_usage_recurrence, "observed_part_event_count"),
+        (reports.monthly_part_usage_concentration, "observed_part_event_count"), (reports.fault_impact_concentration, "failure_event_count"),
+    ):
+        assert sum(x[count] for x in r(frames).collect()) == 4
+
+
 def test_publication(spark, tmp_path):
     family = Family(spark, str(tmp_path), "gold")
     one, two = (spark.createDataFrame([(i, f"v{n}") for i in range(20)], "k int, v string") for n in (1, 2))
