@@ -90,9 +90,11 @@ def surplus_of_grain(df: DataFrame, grain: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*grain).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("observed_count"))
 
 
-def quality(tables: Mapping[str, DataFrame | None]) -> DataFrame:
+def quality(tables: Mapping[str, DataFrame | None], sources: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """check_name, status, severity, detail, observed_count of the tables there are; a table that is None counts as unreadable.
 
+    A table named in sources must have as many rows as its source there.
+
     Each table is read once for its row count and predicates, and once more for its grain.
     """
     grains = {"silver": ("event_id",), "fact_machine_uptime_daily": ("date_key", "machine_key"), "fact_machine_failure_event": ("event_id",)}
@@ -132,6 +134,10 @@ def quality(tables: Mapping[str, DataFrame | None]) -> DataFrame:
             empty = F.when(F.col("_n") == 0, 1).otherwise(0)
             found.append(result(f"{name}_table_populated", empty, empty))
         found += [result(n, F.col(n), F.col(n)) for n in rules]
+        if name in (sources or {}):
+            one = one.crossJoin(F.broadcast(sources[name].agg(F.count("*").alias("_expected"))))  # one row each
+            lost = F.abs(F.col("_n") - F.col("_expected"))
+            found.append(result(f"{name}_source_rows_match", lost, lost))
         parts.append(one.select(F.explode(F.array(*found)).alias("r")).select("r.*"))
         if name in grains:
             n = F.col("observed_count")

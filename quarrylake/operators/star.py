@@ -196,9 +196,8 @@ def natural(star: Star, fact: str) -> DataFrame:
 def audit(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
     """finding, dataset, detail, observed_count of the facts against their sources and dimensions, in a pass over each fact.
 
-    Sources count without the machines that aren't settled. A count of 0 is no finding and not listed.
+    Sources count whole, whatever the star leaves out. A count of 0 is no finding and not listed.
     """
-    unsettled = unsettled_machines(observations(uptime, failures))
     parts = []
     for fact, source, grain in (
         ("fact_machine_uptime_daily", uptime, ("date_key", "machine_key")),
@@ -220,7 +219,7 @@ def audit(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
             F.sum(F.col("n") - 1).alias("repeats"),
             *[null(k).alias(f"null_{k}") for k in keys],
             *[F.sum(f"lost_{k}").alias(f"lost_{k}") for k in keys],
-        ).crossJoin(F.broadcast(source.join(unsettled, "machine_id", "left_anti").agg(F.count("*").alias("expected"))))  # one row each
+        ).crossJoin(F.broadcast(source.agg(F.count("*").alias("expected"))))  # one row each
         found = [
             F.struct(F.lit("source_fact_count_mismatch").alias("finding"), F.lit("").alias("detail"), F.abs(F.coalesce("rows", F.lit(0)) - F.col("expected")).alias("observed_count")),
             F.struct(F.lit("duplicate_fact_grain").alias("finding"), F.lit("").alias("detail"), F.col("repeats").alias("observed_count")),
@@ -233,12 +232,11 @@ def audit(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
 
 def identity_differences(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
     """finding, dataset, observed_count: identities that only the source has (missing) or only the fact (unexpected), in one outer pass each."""
-    unsettled = unsettled_machines(observations(uptime, failures))
     daily, event = ("event_date", "machine_id", *PLACE), ("event_id", "event_date", "machine_id", *PLACE, "fault_code", "severity")
     parts = []
     for fact, source, names in (("fact_machine_uptime_daily", uptime, daily), ("fact_machine_failure_event", failures, event)):
         have = natural(star, fact).select(*names, F.lit(1).alias("_f"), F.lit(0).alias("_s"))
-        want = source.join(unsettled, "machine_id", "left_anti").select(*names, F.lit(0).alias("_f"), F.lit(1).alias("_s"))
+        want = source.select(*names, F.lit(0).alias("_f"), F.lit(1).alias("_s"))
         sides = have.unionByName(want).groupBy(*names).agg(F.max("_f").alias("f"), F.max("_s").alias("s"))
         one = sides.agg(F.count_if(F.expr("f < s")).alias("missing_fact_identity"), F.count_if(F.expr("f > s")).alias("unexpected_fact_identity"))
         parts.append(one.unpivot([], ["missing_fact_identity", "unexpected_fact_identity"], "finding", "observed_count").withColumn("dataset", F.lit(fact)))
@@ -246,15 +244,20 @@ def identity_differences(star: Star, uptime: DataFrame, failures: DataFrame) ->
 
 
 def measure_differences(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
-    """dataset, measure, observed_count: facts whose measure differs from the source's, NULL equal to NULL, all measures in one pass."""
+    """dataset, measure, observed_count: facts whose measure differs from the source's, NULL equal to NULL, all measures in one pass. A row that only one side has differs in all."""
     sets = (
-        ("fact_machine_uptime_daily", uptime, ("event_date", "machine_id"), (*[c for c in uptime.columns if c.endswith("_minutes")], "uptime_pct", "avg_health_score", "downtime_load_pct")),
+        ("fact_machine_uptime_daily", uptime, ("event_date", "machine_id", *PLACE), (*[c for c in uptime.columns if c.endswith("_minutes")], "uptime_pct", "avg_health_score", "downtime_load_pct")),
         ("fact_machine_failure_event", failures, ("event_id",), ("temperature_c", "vibration_mm_s", "downtime_minutes", "maintenance_cost_gbp", "part_code", "part_quantity")),
     )
     parts = []
     for fact, source, names, measures in sets:
         have = natural(star, fact).select(*names, F.struct(*measures).alias("_f"))
-        both = have.join(source.select(*names, F.struct(*measures).alias("_s")), list(names))
-        one = both.agg(*[F.count_if(~F.col(f"_f.{m}").eqNullSafe(F.col(f"_s.{m}"))).alias(m) for m in measures])
+        want = source.select(*[F.col(c).alias(f"_{c}") for c in names], F.struct(*measures).alias("_s"))
+        on = F.lit(True)
+        for c in names:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        both = have.join(want, on, "full")
+        alone = F.col("_f").isNull() | F.col("_s").isNull()
+        one = both.agg(*[F.count_if(alone | ~F.col(f"_f.{m}").eqNullSafe(F.col(f"_s.{m}"))).alias(m) for m in measures])
         parts.append(one.unpivot([], list(measures), "measure", "observed_count").withColumn("dataset", F.lit(fact)))
     return parts[0].unionByName(parts[1])

@@ -56,7 +56,8 @@ def _quality(f: Frames) -> DataFrame:
         "fact_machine_uptime_daily": f.star.fact_machine_uptime_daily,
         "fact_machine_failure_event": f.star.fact_machine_failure_event,
     }
-    return checks.quality(tables)
+    uptime, failures = f.staged
+    return checks.quality(tables, {"fact_machine_uptime_daily": uptime, "fact_machine_failure_event": failures})
 
 
 TABLES |= {

@@ -131,6 +131,22 @@ def test_star_keeps_every_row(spark):
     assert {(r.machine_id, r.attribute_sets, r.lacks_attribute) for r in star.unsettled_days(star.observations(uptime, failures)).collect()} == {("M1", 2, False), ("M2", 1, True)}
 
 
+def test_audits_tell_of_lost_rows(spark):
+    rows = [row(i, m, site_id=s, model=x, status="FAULT", fault_code="HYD", severity="high") for i, (m, s, x) in enumerate([("M1", "S1", "X"), ("M1", "S2", "X"), ("M2", "S1", None), ("M3", "S1", "X")])]
+    silver = medallion.silver(spark.createDataFrame(rows, EVENTS))
+    uptime, failures = marts.machine_uptime(silver), marts.failure_events(silver)
+    whole = star.build_star(uptime, failures)
+    less = star.build_star(uptime.where("machine_id = 'M3'"), failures.where("machine_id = 'M3'"))
+    facts = ("fact_machine_uptime_daily", "fact_machine_failure_event")
+    assert star.audit(whole, uptime, failures).collect() == []
+    assert {(r.finding, r.dataset, r.observed_count) for r in star.audit(less, uptime, failures).collect()} == {("source_fact_count_mismatch", d, 3) for d in facts}
+    for s, lost in ((whole, 0), (less, 3)):
+        assert {(r.finding, r.observed_count) for r in star.identity_differences(s, uptime, failures).collect()} == {("missing_fact_identity", lost), ("unexpected_fact_identity", 0)}
+        assert {r.observed_count for r in star.measure_differences(s, uptime, failures).collect()} == {lost}
+    got = {r.check_name: r.observed_count for r in checks.quality({d: getattr(less, d) for d in facts}, dict(zip(facts, (uptime, failures)))).where("status = 'fail'").collect()}
+    assert got == {f"{d}_source_rows_match": 3 for d in facts}
+
+
 DAYS = "event_date date, site_id string, client_id string, machine_id string, model string, downtime_minutes bigint, uptime_pct double, avg_health_score double"
 
 
