@@ -47,8 +47,8 @@ _TYPED = {
 def trusted_events(events: DataFrame, *columns: str) -> DataFrame:
     """event_id, machine_id, epoch_s and the asked columns of every event_id that isn't contradicting and whose event_ts reads.
 
-    Rows without an event_id or a machine_id carry no event and are left out. Where copies agree, but differ in letter
-    case, the greater text stands. An empty table gives an empty table; further columns of the input are ignored.
+    Rows without an event_id carry no event and are left out, and so are events without a machine_id, once all their
+    copies are compared. Where copies agree, but differ in letter case, the greater text stands. An empty table gives an empty table; further columns of the input are ignored.
     """
     typed = events.select(
         text_of(F.col("event_id")).alias("event_id"),
@@ -56,11 +56,11 @@ def trusted_events(events: DataFrame, *columns: str) -> DataFrame:
         epoch_of(F.col("event_ts")).alias("epoch_s"),
         *[_TYPED[c]().alias(c) for c in columns],
         payload_hash().alias("_h"),
-    ).where("event_id is not null and machine_id is not null")
+    ).where("event_id is not null")
     one = typed.groupBy("event_id").agg(
         F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), *[F.max(c).alias(c) for c in ("machine_id", "epoch_s", *columns)]
     )
-    return one.where("_lo = _hi and epoch_s is not null").drop("_lo", "_hi")
+    return one.where("_lo = _hi and machine_id is not null and epoch_s is not null").drop("_lo", "_hi")
 
 
 def landed_times(events: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def test_trusted_events(spark):
     assert trusted_events(df.limit(0), "site_id").collect() == []
 
 
+def test_a_copy_without_machine_contradicts(spark):
+    df = spark.createDataFrame([event(1, event_id="E1"), event(2, event_id="E1", machine_id=None), event(3, event_id="E3"), event(4, event_id="E3")], EVENTS)
+    assert {r.event_id for r in trusted_events(df).collect()} == {"E3"} and {r.event_id for r in contradicting_ids(df).collect()} == {"E1"}
+
+
 def union_of(spans):
     out = []
     for s, e in sorted(spans):
