@@ -12,6 +12,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quarrylake.functions.shipping import shipped
@@ -139,8 +140,8 @@ def containers(sized: DataFrame, capacity: int = 2048) -> DataFrame:
     """doc_id, piece_no, start_token, n_tokens, container: every text of sized (doc_id, n_tokens) or piece of it, with its container.
 
     A text of up to capacity tokens is one piece and goes into one container; a longer one is cut into pieces of capacity
-    and a rest. Texts of size 0 or NULL are left out; repeated rows are packed each. A container is named by its first
-    piece. An empty table gives an empty table.
+    and a rest. Texts of size 0 or NULL are left out; repeated rows are packed each. A container is named by its
+    partition and its number there. An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +155,9 @@ def containers(sized: DataFrame, capacity: int = 2048) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
         rows: list[tuple] = []
-        for window in pack(pieces(), capacity):
-            name = "{}:{}".format(*min(x[1] for x in window)[:2])
+        part = TaskContext.get().partitionId()
+        for number, window in enumerate(pack(pieces(), capacity)):
+            name = f"{part}:{number}"
             rows += [(doc, k, start, n, name) for n, (doc, k, start) in window]
             if len(rows) >= 10_000:
                 yield out(rows)

@@ -94,6 +94,14 @@ def test_queries_over_documents(spark, data, theirs):
     check_containers(rows, {d: len(i) for d, i in got.items()})
 
 
+def test_containers_of_missing_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, 500), (1, 500), (None, 1500)] + [(7, 1500)] * 6, "doc_id bigint, n_tokens int").repartition(2)
+    load = {}
+    for r in packing.containers(df).collect():
+        load[r.container] = load.get(r.container, 0) + r.n_tokens
+    assert sum(load.values()) == 11_500 and max(load.values()) <= 2048
+
+
 def check_containers(rows, sizes, capacity=2048):
     load, pieces = {}, {}
     for r in rows:
