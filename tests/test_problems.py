@@ -108,31 +108,94 @@ def test_refuelling_is_no_case_but_a_spike_is():
     assert set(np.flatnonzero(state == 1)) == {100, 333, 450, 451}
 
 
-def test_blocks_and_shards_change_nothing(spark, monkeypatch):
-    r = np.random.default_rng(3)
-    n = 4000
-    x = 60 + r.normal(0, 1.5, n)
-    x[r.choice(n, 60, replace=False)] += 50
-    machine = np.where(np.arange(n) < 3000, "hot", np.array([f"m{i // 100}" for i in range(n)]))
-    order = np.argsort(machine, kind="stable")
-    table = pa.table({"event_id": [f"{i:06d}" for i in range(n)], "machine_id": machine[order], "epoch_s": np.arange(n), "temperature_c": x, "_shard": np.zeros(n, np.int32), "_own": np.ones(n, bool)})
-    run = lambda size: {(i, round(p, 6)) for b in anomalies._flag(["temperature_c"])(iter(table.to_batches(max_chunksize=size))) for i, p in zip(b.column(0).to_pylist(), b.column(6).to_pylist())}
-    whole = run(n)
-    assert len(whole) >= 50
-    monkeypatch.setattr(anomalies, "ROWS", 700)
-    assert {i for i, _ in run(100)} == {i for i, _ in whole}
-    monkeypatch.undo()
-    df = spark.createDataFrame(table.drop_columns(["_shard", "_own"]).to_pandas())
-    for hot, pieces in ((50_000, 256), (1000, 32)):
-        monkeypatch.setattr(anomalies, "HOT", hot)
-        monkeypatch.setattr(anomalies, "PIECES", pieces)
-        assert {r.event_id for r in anomalies.implausible_readings(df, ("temperature_c",)).collect()} == {i for i, _ in whole}
-    nothing = df.limit(0)
-    assert anomalies.implausible_readings(nothing, ("temperature_c",)).collect() == []
+def changing_machine(n=6000, seed=3):
+    """A series whose scatter changes halfway, with spikes and stuck runs."""
+    r = np.random.default_rng(seed)
+    x = np.round(60 + r.normal(0, np.where(np.arange(n) < n // 2, 0.5, 4.0)), 2)
+    x[r.choice(n, 90, replace=False)] += 30
+    for a in r.choice(n - 50, 8, replace=False):
+        x[a : a + 7] = 61.25
+    return x
+
+
+def test_blocks_cuts_and_partitions_change_nothing(spark, monkeypatch):
+    x = np.concatenate([changing_machine(), *[changing_machine(100, 10 + i) for i in range(10)]])
+    n = len(x)
+    machine = np.array(["hot"] * 6000 + [f"m{i // 100}" for i in range(n - 6000)])
+    table = pa.table({"event_id": [f"{i:06d}" for i in range(n)], "machine_id": machine, "epoch_s": np.arange(n) * 7, "temperature_c": x})
+    df = spark.createDataFrame(table.to_pandas())
+    # the whole series at once, by what is usual for its machine
+    group = np.unique(machine, return_inverse=True)[1]
+    state, _ = anomalies.judge(x, group, anomalies.READINGS["temperature_c"])
+    want = {(f"{i:06d}", str(anomalies.NAMES[state[i]])) for i in np.flatnonzero(state)}
+    assert len(want) > 100 and {s for _, s in want} == {"spike", "stuck"}
+    found = lambda d: {(r.event_id, r.state) for r in anomalies.implausible_readings(d, ("temperature_c",)).collect()}
+    assert found(df) == want
+    monkeypatch.setattr(anomalies, "HOT", 1000)
+    for quantiles, piece, rows, named in ((16, 6_250, 100_000, 10_000), (8, 100, 100_000, 10_000), (16, 6_250, 500, 10_000), (32, 6_250, 100_000, 0)):
+        for name, value in (("QUANTILES", quantiles), ("PIECE", piece), ("ROWS", rows), ("NAMED", named)):
+            monkeypatch.setattr(anomalies, name, value)
+        assert found(df.repartition(3)) == want
+        monkeypatch.setattr(anomalies, "SHARD", 4)
+    assert anomalies.implausible_readings(df.limit(0), ("temperature_c",)).collect() == []
     nulls = df.withColumn("temperature_c", F.lit(None).cast("double"))
     assert anomalies.implausible_readings(nulls, ("temperature_c",)).collect() == []
 
 
+@pytest.mark.parametrize("field", list(anomalies.READINGS))
+def test_runs_of_one_to_six_spikes(field):
+    kind = anomalies.READINGS[field]
+    drift = {"fuel_level_pct": -0.01, "hour_meter": 3.0}.get(field, 0.0)
+    r = np.random.default_rng(2)
+    n, least = 1200, kind.least
+    x = 90 + drift * np.arange(n) + r.normal(0, least, n)
+    want = set()
+    for k in range(1, 7):
+        at = 150 * k + np.arange(k)
+        x[at] -= 60 * least + 15 + r.normal(0, least, k)
+        want |= set(at.tolist())
+    state, _ = anomalies.judge(x, np.zeros(n, np.int64), kind)
+    assert set(np.flatnonzero(state == 1).tolist()) == want
+
+
+def test_recall_and_precision_on_planted_readings():
+    """Machines of 170 readings with all kinds of cases and what is none: level changes, refuelling, moderate rises."""
+    r = np.random.default_rng(7)
+    kinds = {"temperature_c": (60, 1.5), "vibration_mm_s": (2.2, 0.2), "fuel_level_pct": (0, 1.0), "hour_meter": (500, 0.5)}
+    found = true = both = 0
+    for field, (level, scatter) in kinds.items():
+        xs, cases = [], []
+        for m in range(120):
+            x, case = level + r.normal(0, scatter, 170), np.zeros(170, bool)
+            if field == "fuel_level_pct":
+                left = 90.0
+                for i in range(170):
+                    left = left - r.uniform(2, 6) if left > 20 else r.uniform(80, 95)
+                    x[i] = min(100.0, max(0.5, left + r.normal(0, 0.7)))
+            elif field == "hour_meter":
+                x += np.cumsum(r.uniform(2, 8, 170))
+            else:
+                x[r.integers(40, 130) :] += 6 * scatter  # a lasting change
+                a = r.integers(5, 160)
+                x[a : a + 4] += 2.5 * scatter  # a moderate rise
+            for a in r.choice(np.arange(8, 160, 12), 3, replace=False):
+                k = r.integers(1, 4)
+                if field == "fuel_level_pct":
+                    x[a : a + k] = r.uniform(1, 5, k) if x[a - 1] > 50 else r.uniform(230, 255, k)
+                else:
+                    x[a : a + k] = np.abs(x[a : a + k] + r.choice([-1, 1]) * (40 * scatter + (x[a] if field == "hour_meter" else 0)))
+                case[a : a + k] = True
+            a = int(r.integers(0, 160))
+            if not case[max(0, a - 1) : a + 9].any():
+                x[a : a + 7], case[a : a + 7] = np.round(x[a], 2), True
+            xs.append(x)
+            cases.append(case)
+        state, _ = anomalies.judge(np.concatenate(xs), np.repeat(np.arange(120), 170), anomalies.READINGS[field])
+        hit, case = state > 0, np.concatenate(cases)
+        found, true, both = found + hit.sum(), true + case.sum(), both + (hit & case).sum()
+    assert both / true >= 0.99 and both / found >= 0.99
+
+
 def test_ranges():
     s, seen = delivery.Ranges(), set()
     r = random.Random(5)
