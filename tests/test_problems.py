@@ -183,7 +183,7 @@ def test_recall_and_precision_on_planted_readings():
                 if field == "fuel_level_pct":
                     x[a : a + k] = r.uniform(1, 5, k) if x[a - 1] > 50 else r.uniform(230, 255, k)
                 else:
-                    x[a : a + k] = np.abs(x[a : a + k] + r.choice([-1, 1]) * (40 * scatter + (x[a] if field == "hour_meter" else 0)))
+                    x[a : a + k] = np.abs(x[a : a + k] + r.choice([-1, 1] if level > 10 else [1, 1]) * (40 * scatter + (x[a] if field == "hour_meter" else 0)))
                 case[a : a + k] = True
             a = int(r.integers(0, 160))
             if not case[max(0, a - 1) : a + 9].any():
