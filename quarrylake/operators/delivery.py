@@ -1,7 +1,8 @@
 """Exactly one copy of each message that was delivered at least once.
 
 Identifiers that a producer numbers (`E000007840`) are kept as disjoint ranges of numbers seen, not as a list of keys: a
-number outside the ranges is accepted once and merged into them. Other identifiers are looked up by their exact key.
+number outside the ranges is accepted once and merged into them. Other identifiers are looked up by their exact key, in a
+table of keys. Ranges and keys are what one batch hands to the next.
 
 The number space of a producer is cut into blocks, each with ranges of its own, so that a busy producer spreads over the
 cluster. Deliveries are judged twice: where they lie first, so that a message delivered very often sends one row per
@@ -62,8 +63,8 @@ _KEYED = "="
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets _again on numbers that the ranges cover already; rows that have it pass.
 
-    Rows come by producer and block, ranges seen before first, then deliveries by preference. Of a keyed identifier the
-    first is kept.
+    Rows come by producer and block, what was seen before first, then deliveries by preference. Of a keyed identifier the
+    first row is kept: a delivery, or the key as it was seen before.
     """
     at, seen, last = None, Ranges(), None
     for batch in batches:
@@ -109,13 +110,13 @@ def _pass(rows: DataFrame, *prefer: Column) -> DataFrame:
     return shipped(rows).sortWithinPartitions("_producer", "_block", F.col("_until").desc(), *prefer).mapInArrow(_judge, rows.schema)
 
 
-def judge_deliveries(rows: DataFrame, key: str, prefer: list[str], seen: DataFrame | None = None) -> DataFrame:
+def judge_deliveries(rows: DataFrame, key: str, prefer: list[str], seen: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """key, the prefer columns, and `again`: true for every delivery but the one kept of each key.
 
     Of a key's deliveries the one with the greatest prefer columns is kept (NULL last); prefer must tell all apart.
-    seen (producer, first, last) are ranges taken in before: deliveries within them are all again. Keys are compared
-    without surrounding blanks; a delivery without key can't be known again and is left out. An empty table gives an
-    empty table.
+    seen (producer, first, last) are ranges taken in before, and keys (key) the identifiers without a number: deliveries
+    within them are all again. Keys are compared without surrounding blanks; a delivery without key can't be known again
+    and is left out. An empty table gives an empty table.
 
     Deliveries that are judged again where they lie go to any task of the second pass, the others to that of their block.
     """
@@ -131,15 +132,27 @@ def judge_deliveries(rows: DataFrame, key: str, prefer: list[str], seen: DataFra
             "_producer", "_block", F.greatest("first", F.col("_block") * BLOCK).alias("_number"), F.least("last", (F.col("_block") + 1) * BLOCK - 1).alias("_until")
         )
         here = here.unionByName(old.withColumn("_again", F.lit(False)), allowMissingColumns=True)
+    if keys is not None:
+        zero = F.lit(0).cast("bigint")
+        old = keys.select(F.concat(F.lit(_KEYED), "key").alias("_producer"), zero.alias("_number"), zero.alias("_block"), zero.alias("_until"), F.lit(False).alias("_again"))
+        here = here.unionByName(old.where("_producer is not null"), allowMissingColumns=True)
     place = F.when(F.col("_again"), F.xxhash64(key, *prefer)).otherwise(F.xxhash64("_producer", "_block"))
     judged = _pass(here.withColumn("_place", place).repartition("_place"), *order).where("_until < 0")
     return judged.select(key, *prefer, F.col("_again").alias("again"))
 
 
+def seen_keys(accepted: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """key: the identifiers without a number after the accepted ones are added to those seen before, each once."""
+    text = text_of(F.col(key))
+    ids = accepted.select(text.alias("key")).where(F.col("key").isNotNull() & producer_of(F.col("key")).isNull())
+    return (ids if keys is None else ids.unionByName(keys.select("key"))).distinct()
+
+
 def seen_ranges(accepted: DataFrame, key: str, seen: DataFrame | None = None) -> DataFrame:
     """producer, first, last: the disjoint ranges after the accepted keys are merged into those seen before.
 
-    Runs form within blocks; the few that reach a block's edge are merged across.
+    Runs form within blocks; the few that reach a block's edge are merged across. Identifiers without a number are for
+    seen_keys.
     """
     ids = accepted.select(producer_of(text_of(F.col(key))).alias("producer"), number_in(text_of(F.col(key))).alias("first")).where("producer is not null")
     points = ids.select("producer", "first", F.col("first").alias("last"))

@@ -232,6 +232,26 @@ def test_deliveries_against_brute_force(spark):
     assert delivery.judge_deliveries(df.limit(0), "event_id", ["record_id"]).collect() == []
 
 
+def test_deliveries_in_two_batches(spark):
+    """Numbered and malformed identifiers: what the first batch accepted is again in the second, whatever its form."""
+    batches = [
+        ["E000001", "E000002", "odd id", "odd id", "E" + "9" * 30, "=", None],
+        [" odd id ", "E000001", "E000003", "new id", "E" + "9" * 30, "E" + "8" * 30, "=", "==", None, "new id"],
+        ["new id", "odd id", "E000003", "E000004", "=="],
+    ]
+    kept, seen, keys = [], None, None
+    for b, ids in enumerate(batches):
+        df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "event_id string, record_id bigint").repartition(3)
+        judged = delivery.judge_deliveries(df, "event_id", ["record_id"], seen, keys)
+        assert judged.count() == sum(i is not None for i in ids)
+        fresh = judged.where("not again")
+        kept.append(sorted(r.event_id for r in fresh.collect()))
+        seen, keys = delivery.seen_ranges(fresh, "event_id", seen), delivery.seen_keys(fresh, "event_id", keys)
+    assert kept == [sorted({i for i in batches[0] if i}), ["==", "E000003", "E" + "8" * 30, "new id"], ["E000004"]]
+    assert {r.key for r in keys.collect()} == {"odd id", "new id", "=", "==", "E" + "9" * 30, "E" + "8" * 30}
+    assert [tuple(r) for r in seen.collect()] == [("E#6", 1, 4)]
+
+
 EVIDENCE = "event_date date, machine_id string, client_id string, site_id string, model string, assignment_evidence_source string, _ingested_at timestamp"
 
 
