@@ -59,9 +59,5 @@ def day_of(epoch: Column) -> Column:
 
 
 def minutes_of(c: Column) -> Column:
-    """Minutes for totals: 0 where they are missing or don't read, exact to a millionth.
-
-    Beyond a hundred years they count as unreadable, so that no total and no instant can overflow.
-    """
-    n = number_of(c)
-    return F.when(F.abs(n) <= 52_560_000, n).otherwise(F.lit(0.0)).cast("decimal(18,6)")
+    """Minutes for totals, as a double: 0 where they are missing or don't read. -0 reads as 0."""
+    return F.coalesce(number_of(c), F.lit(0.0))

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.functions.shipping import shipped
+from quarrylake.operators.shards import cuts_of, with_piece
 
 
 @dataclass(frozen=True)
@@ -59,10 +60,8 @@ SPIKE, AGAIN, TAIL, FAR = 6.2, 1.0, 2.0, 5.0
 STICK, REPEAT = 10.0, 10.0
 #: Of a change of level after a stuck run, and of a spike right after one.
 RELEASE, FREED = 2.0, 5.0
-#: Rows of a machine from which it is cut, quantiles of its time, rows of one piece of time, and pieces of a shard.
-HOT, QUANTILES, PIECE, SHARD = 50_000, 256, 6_250, 8
-#: Machines that are cut are named in the plan up to this many; beyond it they are joined.
-NAMED = 10_000
+#: Rows of one piece of a large machine's time, and pieces of a shard.
+PIECE, SHARD = 6_250, 8
 #: Rows that are judged at a time, rows of context at a cut, and readings in one column of the recursion.
 ROWS, CONTEXT, COLUMN = 100_000, 64, 512
 
@@ -347,29 +346,13 @@ def implausible_readings(events: DataFrame, fields: tuple[str, ...] = tuple(READ
     gives an empty table. times (machine_id, epoch_s) holds at least the events' times, where they can be read more
     cheaply than from events: only the cuts of large machines, and no result, depend on them.
 
-    Which machines are cut is read first. Up to NAMED of them are named in the plan with their cuts, so that only they and
-    no events are shuffled for it; more are joined.
+    Which machines are cut is read first, see shards.
     """
     rows = events.select("event_id", "machine_id", "epoch_s", *fields).where("machine_id is not null and epoch_s is not null")
-    cut_at = F.array_distinct(F.percentile_approx("epoch_s", [i / QUANTILES for i in range(QUANTILES + 1)], 2_000))
-    cuts = (rows if times is None else times).groupBy("machine_id").agg(F.count("*").alias("_n"), cut_at.alias("_cuts")).where(F.col("_n") > HOT)
-    named = cuts.limit(NAMED + 1).collect()
+    cuts = cuts_of(rows if times is None else times, "machine_id", "epoch_s")
     place = ["event_id", "machine_id", "epoch_s", *fields]
-    if not named:
-        spread = rows.select(*place, F.lit(-1).alias("_shard"), F.lit(True).alias("_own"))
-        return _judged(spread, list(fields))
-    few = len(named) <= NAMED
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    if few:
-        cuts = rows.sparkSession.createDataFrame([tuple(r) for r in named], "machine_id string, _n bigint, _cuts array<bigint>")
-    # within a quantile of a very large machine time is cut evenly
-    slices = F.ceil(F.col("_n") / (QUANTILES * PIECE))
-    bucket = F.greatest(F.size(F.filter("_cuts", lambda c: c <= F.col("epoch_s"))) - 1, F.lit(0))
-    cut = rows.join(small(cuts), "machine_id", "left").withColumn("_b", bucket)
-    lo, hi = F.get("_cuts", F.col("_b")), F.get("_cuts", F.col("_b") + 1)
-    within = F.least(F.greatest(F.expr("0"), F.floor((F.col("epoch_s") - lo) / (hi - lo) * slices)), slices - 1)
-    piece = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(F.col("_b") * slices + F.coalesce(within, F.lit(0)))
-    cut = cut.withColumn("_piece", piece.cast("bigint")).drop("_cuts", "_b", "_n")
+    if cuts is None:
+        return _judged(rows.select(*place, F.lit(-1).cast("bigint").alias("_shard"), F.lit(True).alias("_own")).repartition("machine_id", "_shard"), list(fields))
     shard, within = F.floor(F.col("_piece") / SHARD).cast("bigint"), F.pmod("_piece", F.lit(SHARD))
     copy = lambda s, own: F.struct(s.alias("_shard"), F.lit(own).alias("_own"))
     places = F.array_compact(
@@ -379,11 +362,10 @@ def implausible_readings(events: DataFrame, fields: tuple[str, ...] = tuple(READ
             F.when((F.col("_piece") > 0) & (within == 0), copy(shard - 1, False)),
         )
     )
-    spread = cut.select(*place, F.explode(places).alias("_place")).select(*place, "_place._shard", "_place._own")
+    spread = with_piece(rows, cuts, "epoch_s", PIECE).select(*place, F.explode(places).alias("_place")).select(*place, "_place._shard", "_place._own")
     habits = _habits(spread.where("_shard >= 0").repartition("machine_id", "_shard"), list(fields))
-    return _judged(spread.join(small(habits), "machine_id", "left"), list(fields))
+    return _judged(spread.join(cuts.small(habits), "machine_id", "left").repartition("machine_id", "_shard"), list(fields))
 
 
-def _judged(spread: DataFrame, fields: list[str]) -> DataFrame:
-    shards = spread.repartition("machine_id", "_shard")
+def _judged(shards: DataFrame, fields: list[str]) -> DataFrame:
     return shipped(shards).sortWithinPartitions("machine_id", "_shard", "epoch_s", "event_id").mapInArrow(_flag(fields), OUT)

@@ -1,55 +1,97 @@
 """Continuous periods out of overlapping intervals, and the holes between them.
 
-Sessions with a gap per row merge what overlaps. An entity's time is cut into shards, so that one entity with very many
-rows spreads over many tasks. The sessions of a shard are disjoint and at least a second apart: an entity has fewer of
-them than its span has seconds, however many rows it has, and these are stitched in order of time.
+Sessions with a gap per row merge what overlaps. Entities with very many rows are cut into pieces of time by density, see
+shards: each piece is merged by itself, given how far the pieces before it reach, and only its first and last period meet
+those of other pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.operators.shards import Cuts, cuts_of, with_piece
 
-def continuous_periods(intervals: DataFrame, keys: list[str], start: str, length: str, shard_s: int = 86_400) -> DataFrame:
+#: Rows of a piece of a large entity's time.
+PIECE = 50_000
+#: Seconds that a session's gap has at most: instants have an end. What lasts longer is carried on as a number.
+HORIZON = 100 * 366 * 86_400
+
+
+def continuous_periods(intervals: DataFrame, keys: list[str], start: str, length: str, cuts: Cuts | None = None) -> DataFrame:
     """keys, start_s, end_s, next_start_s: the union of [start, start + length) by keys, as disjoint periods.
 
     start and length are whole seconds. Intervals that overlap or touch become one period; next_start_s is the start of
     the same keys' next period, NULL for the last. Rows whose start or length is NULL, and lengths of 0 or less, have no
-    part. NULL is a key value as any other. Repeated rows change nothing. An empty table gives an empty table.
+    part. NULL is a key value as any other. Repeated rows change nothing. An empty table gives an empty table. Without
+    cuts (of one of the keys) every key stays whole; no result depends on them.
     """
-    rows = intervals.select(
+    rows = with_piece(intervals.where(F.col(start).isNotNull() & (F.col(length) > 0)), cuts, start, PIECE).select(
         *keys,
+        "_piece",
         F.timestamp_seconds(F.col(start)).alias("_at"),
-        F.make_interval(secs=F.col(length).cast("decimal(18,6)")).alias("_gap"),
-        F.floor(F.col(start) / F.lit(shard_s)).cast("bigint").alias("_shard"),
-    ).where(F.col(start).isNotNull() & (F.col(length) > 0))
-    sessions = rows.groupBy(*keys, "_shard", F.session_window("_at", F.col("_gap")).alias("_session")).agg(F.count(F.lit(1)).alias("_n"))
-    sessions = sessions.select(*keys, F.unix_seconds("_session.start").alias("_s"), F.unix_seconds("_session.end").alias("_e"))
-
-    # what only touches, or reaches over a shard's edge
-    w = W.partitionBy(*keys).orderBy("_s")
-    before = F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    sessions = sessions.withColumn("_new", F.when(F.col("_s") <= before, 0).otherwise(1))
+        F.make_interval(secs=F.least(F.col(length), F.lit(HORIZON)).cast("decimal(18,6)")).alias("_gap"),
+        (F.col(start) + F.col(length)).alias("_until"),
+    )
+    place = [*keys, "_piece"]
+    sessions = rows.groupBy(*place, F.session_window("_at", F.col("_gap")).alias("_session")).agg(F.max("_until").alias("_e"))
+    sessions = sessions.select(*place, F.unix_seconds("_session.start").alias("_s"), "_e")
+    if cuts is not None:  # how far the pieces before reach; NULL for entities that stay whole
+        reach = sessions.where("_piece >= 0").groupBy(*place).agg(F.max("_e").alias("_r"))
+        before = F.max("_r").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+        reach = reach.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(place)], before.alias("_before"))
+        same = F.lit(True)
+        for i, k in enumerate(place):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        sessions = sessions.join(reach, same, "left").drop(*[f"_k{i}" for i in range(len(place))])
+    else:
+        sessions = sessions.withColumn("_before", F.lit(None).cast("bigint"))
+
+    # what only touches, or is reached from before
+    w = W.partitionBy(*place).orderBy("_s")
+    so_far = F.greatest(F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("_before"))
+    sessions = sessions.withColumn("_new", F.when(F.col("_s") <= so_far, 0).otherwise(1))
     islands = sessions.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    periods = islands.groupBy(*keys, "_island").agg(F.min("_s").alias("start_s"), F.max("_e").alias("end_s"))
-    following = F.lead("start_s").over(W.partitionBy(*keys).orderBy("start_s"))
-    return periods.select(*keys, "start_s", "end_s", following.alias("next_start_s"))
+    periods = islands.groupBy(*place, "_island").agg(F.min("_s").alias("start_s"), F.max("_e").alias("end_s"))
+    following = F.lead("start_s").over(W.partitionBy(*place).orderBy("_island"))
+    periods = periods.withColumn("next_start_s", following)
+    out = [*keys, "start_s", "end_s", "next_start_s"]
+    if cuts is None:
+        return periods.select(*out)
+
+    # island 0 goes on with one of an earlier piece; a piece's last period may go on, and its next begins in a later piece
+    edge = (F.col("_piece") >= 0) & ((F.col("_island") == 0) | F.col("next_start_s").isNull())
+    inner = periods.where(~edge).select(*out)
+    marks = periods.where((F.col("_piece") >= 0) & ((F.col("_island") <= 1) | F.col("next_start_s").isNull()))
+    in_time = W.partitionBy(*keys).orderBy("_piece", "_island")
+    marks = marks.withColumn("_g", F.sum(F.when(F.col("_island") > 0, 1).otherwise(0)).over(in_time.rowsBetween(W.unboundedPreceding, 0)))
+    opens = F.col("_island") > 0
+    joined = marks.groupBy(*keys, "_g").agg(
+        F.min(F.when(opens, F.col("start_s"))).alias("start_s"), F.max("end_s").alias("end_s"), F.max(F.when(opens, F.col("next_start_s").isNull())).alias("_last")
+    )
+    joined = joined.withColumn("next_start_s", F.lead("start_s").over(W.partitionBy(*keys).orderBy("_g"))).where("_last")
+    return inner.unionByName(joined.select(*out))
+
+
+def seconds_of(minutes: Column) -> Column:
+    """Whole seconds of minutes, rounded; beyond what a bigint of seconds holds, about as many as it holds."""
+    return F.greatest(F.least(F.round(minutes.cast("double") * 60), F.lit(9.0e18)), F.lit(-9.0e18)).cast("bigint")
 
 
-def periods_and_gaps(events: DataFrame, max_gap_s: int = 7 * 86_400, shard_s: int = 86_400) -> DataFrame:
+def periods_and_gaps(events: DataFrame, max_gap_s: int = 7 * 86_400, times: DataFrame | None = None) -> DataFrame:
     """kind, machine_id, start_s, end_s out of trusted events: `report` and `down` periods, and `gap` rows.
 
-    A gap is the hole between two neighbouring reporting periods of one machine, of max_gap_s at most.
+    A gap is the hole between two neighbouring reporting periods of one machine, of max_gap_s at most. times
+    (machine_id, epoch_s) holds at least the events' times, where they can be read more cheaply than from events.
     """
-    seconds = lambda c: F.round(F.col(c) * 60).cast("bigint")
     both = F.array(
-        F.struct(F.lit("report").alias("kind"), seconds("duration_minutes").alias("len_s")),
-        F.struct(F.lit("down").alias("kind"), seconds("downtime_minutes").alias("len_s")),
+        F.struct(F.lit("report").alias("kind"), seconds_of(F.col("duration_minutes")).alias("len_s")),
+        F.struct(F.lit("down").alias("kind"), seconds_of(F.col("downtime_minutes")).alias("len_s")),
     )
     rows = events.select("machine_id", "epoch_s", F.explode(both).alias("_i")).select("machine_id", "epoch_s", "_i.*")
-    periods = continuous_periods(rows, ["kind", "machine_id"], "epoch_s", "len_s", shard_s)
+    cuts = cuts_of(events if times is None else times, "machine_id", "epoch_s")
+    periods = continuous_periods(rows, ["kind", "machine_id"], "epoch_s", "len_s", cuts)
     gap = (F.col("kind") == "report") & (F.col("next_start_s") - F.col("end_s") <= max_gap_s)
     out = F.array_compact(
         F.array(

@@ -10,22 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: What one amount counts at most: sums of it still fit.
+MOST = 1e26
+
 
 def trailing_totals(amounts: DataFrame, entity: str, day: str, amount: str, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """entity, day, and total_{n}d (decimal) and avg_{n}d (double) for each n of periods, for every day from the entity's first to its last.
 
     The period of n days ends with the day itself; days before the first count as 0. A NULL amount counts as 0, yet its
-    day counts for the span; rows without an entity or a day have no part. An empty table gives an empty table.
+    day counts for the span; rows without an entity or a day have no part. An empty table gives an empty table. Amounts
+    are exact to a millionth, so that what is added and taken off cancels; the totals of amounts beyond 10**26 are 10**26.
     """
+    bounded = F.greatest(F.least(F.coalesce(F.col(amount).cast("double"), F.lit(0.0)), F.lit(MOST)), F.lit(-MOST))
     daily = (
-        amounts.select(F.col(entity).alias("_k"), F.col(day).alias("_d"), F.coalesce(F.col(amount), F.lit(0)).cast("decimal(18,6)").alias("_a"))
+        amounts.select(F.col(entity).alias("_k"), F.col(day).alias("_d"), bounded.cast("decimal(33,6)").alias("_a"))
         .where("_k is not null and _d is not null")
         .groupBy("_k", "_d")
         .agg(F.sum("_a").alias("_a"))
     )
     # each day with an amount also makes the quiet days up to the next, so that all rows come from one reading of the amounts
     daily = daily.withColumn("_next", F.lead("_d").over(W.partitionBy("_k").orderBy("_d")))
-    amount, zero = F.col("_a").cast("decimal(28,6)"), F.lit(0).cast("decimal(28,6)")
+    amount, zero = F.col("_a").cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)")
     until = F.coalesce(F.date_sub("_next", 1), F.col("_d"))
     adds = F.transform(F.sequence("_d", until), lambda d: F.struct(d.alias("d"), F.lit(True).alias("_in"), *[F.when(d == F.col("_d"), amount).otherwise(zero).alias(f"c{n}") for n in periods]))
     takes = [F.struct(F.date_add("_d", n).alias("d"), F.lit(False).alias("_in"), *[(-amount if m == n else zero).alias(f"c{m}") for m in periods]) for n in periods]
@@ -36,6 +41,6 @@ def trailing_totals(amounts: DataFrame, entity: str, day: str, amount: str, peri
     return totals.select(
         F.col("_k").alias(entity),
         F.col("d").alias(day),
-        *[F.col(f"total_{n}d").cast("decimal(28,6)").alias(f"total_{n}d") for n in periods],
+        *[F.col(f"total_{n}d").cast("decimal(38,6)").alias(f"total_{n}d") for n in periods],
         *[(F.col(f"total_{n}d").cast("double") / n).alias(f"avg_{n}d") for n in periods],
     )

@@ -17,8 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = trusted_events(_table(spark, sf_dir, "sample_machine_events"), "duration_minutes", "downtime_minutes")
-    return intervals.periods_and_gaps(events).where("kind <> 'report'")
+    landed = _table(spark, sf_dir, "sample_machine_events")
+    events = trusted_events(landed, "duration_minutes", "downtime_minutes")
+    return intervals.periods_and_gaps(events, times=landed_times(landed)).where("kind <> 'report'")
 
 
 def p2_states(spark: SparkSession, sf_dir: str) -> DataFrame:

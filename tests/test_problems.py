@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.contracts import EVENT_COLUMNS
-from quarrylake.operators import anomalies, asof, delivery, history, intervals, malformed, rolling
+from quarrylake.operators import anomalies, asof, delivery, history, intervals, malformed, rolling, shards
 from quarrylake.operators.trusted import contradicting_ids, trusted_events
 
 EVENTS = "record_id bigint, " + ", ".join(f"{c} string" for c in EVENT_COLUMNS) + ", _ingested_at timestamp, _source_file string, extra string"
@@ -53,14 +53,18 @@ def union_of(spans):
     return [tuple(x) for x in out]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_periods_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, cut, named", [(0, False, 10_000), (1, True, 10_000), (2, True, 10_000), (3, True, 0)])
+def test_periods_against_brute_force(spark, monkeypatch, seed, cut, named):
     r = random.Random(seed)
-    rows = [(r.choice(["a", "b", None, "hot", "hot", "hot"]), r.choice([None, r.randint(-500, 5000)]), r.choice([None, 0, -3, 1, 5, 60, 400])) for _ in range(400)]
+    far = 10**17 if seed == 2 else 400
+    rows = [(r.choice(["a", "b", None, "hot", "hot", "hot"]), r.choice([None, r.randint(-500, 5000)]), r.choice([None, 0, -3, 1, 1, 1, 5, 5, 60, r.choice([60, 60, 400, far])])) for _ in range(400)]
     rows += rows[:50]
     df = spark.createDataFrame(rows, "k string, s bigint, n bigint")
+    for name, value in (("HOT", 60), ("QUANTILES", 16), ("NAMED", named)):
+        monkeypatch.setattr(shards, name, value)
+    monkeypatch.setattr(intervals, "PIECE", 5)
     got = defaultdict(list)
-    for x in intervals.continuous_periods(df, ["k"], "s", "n", shard_s=97).collect():
+    for x in intervals.continuous_periods(df, ["k"], "s", "n", shards.cuts_of(df, "k", "s") if cut else None).collect():
         got[x.k].append((x.start_s, x.end_s, x.next_start_s))
     want = defaultdict(list)
     for k, s, n in rows:
@@ -72,11 +76,31 @@ def test_periods_against_brute_force(spark, seed):
         assert sorted(got[k]) == [(*p, u[i + 1][0] if i + 1 < len(u) else None) for i, p in enumerate(u)]
 
 
+def test_one_machine_with_most_rows_in_a_week(spark, monkeypatch):
+    """Cut by density: no piece holds many more rows than asked for, and periods, gaps and knowledge are those of the whole."""
+    r = random.Random(11)
+    week, n = 7 * 86_400, 4000
+    at = [int(r.betavariate(0.3, 3) * week) for _ in range(n)]
+    rows = [("hot" if i % 10 else f"m{i % 70}", t, float(r.choice([0, 0.1, 0.5, 2])), float(r.choice([0, 0.2, 30 * (i % 997 == 0)]))) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "machine_id string, epoch_s bigint, duration_minutes double, downtime_minutes double")
+    whole = sorted(map(tuple, intervals.periods_and_gaps(df).collect()))
+    facts = spark.createDataFrame([(date(1970, 1, d), "hot", f"S{d}", datetime(1970, 1, d, h, tzinfo=UTC)) for d in range(1, 8) for h in (0, 9)], "event_date date, machine_id string, site_id string, _ingested_at timestamp")
+    known = sorted(map(tuple, asof.as_known(df, facts, "site_id").collect()), key=str)
+    for module, name, value in ((shards, "HOT", 500), (shards, "QUANTILES", 32), (intervals, "PIECE", 60), (asof, "PIECE", 60)):
+        monkeypatch.setattr(module, name, value)
+    cuts = shards.cuts_of(df, "machine_id", "epoch_s")
+    sizes = {x._piece: x["count"] for x in shards.with_piece(df, cuts, "epoch_s", 60).groupBy("_piece").count().collect()}
+    assert len(sizes) > 40 and max(v for k, v in sizes.items() if k >= 0) <= 150
+    assert set(sizes) - {-1} <= {x._piece for x in shards.pieces(cuts, 60).collect()}
+    assert sorted(map(tuple, intervals.periods_and_gaps(df).collect())) == whole
+    assert sorted(map(tuple, asof.as_known(df, facts, "site_id").collect()), key=str) == known
+
+
 def test_gaps_and_empty(spark):
-    df = spark.createDataFrame([("M", 0, 1.0, 2.0), ("M", 60, 1.0, 0.0), ("M", 300, 1.0, -1.0), ("M", 300 + 8 * 86400, 1.0, 0.5)], "machine_id string, epoch_s bigint, duration_minutes double, downtime_minutes double")
-    df = df.withColumns({c: F.col(c).cast("decimal(18,6)") for c in ("duration_minutes", "downtime_minutes")})
+    df = spark.createDataFrame([("M", 0, 1.0, 2.0), ("M", 60, 1.0, 0.0), ("M", 300, 1.0, -1.0), ("M", 300 + 8 * 86400, 1.0, 0.5), ("N", 0, 6e7, 1e300)], "machine_id string, epoch_s bigint, duration_minutes double, downtime_minutes double")
     got = {tuple(r) for r in intervals.periods_and_gaps(df).where("kind <> 'report'").collect()}
-    assert got == {("down", "M", 0, 120), ("down", "M", 300 + 8 * 86400, 330 + 8 * 86400), ("gap", "M", 120, 300)}
+    assert got == {("down", "M", 0, 120), ("down", "M", 300 + 8 * 86400, 330 + 8 * 86400), ("gap", "M", 120, 300), ("down", "N", 0, 9 * 10**18)}
+    assert {tuple(r) for r in intervals.periods_and_gaps(df).where("kind = 'report' and machine_id = 'N'").collect()} == {("report", "N", 0, 36 * 10**8)}
     assert intervals.periods_and_gaps(df.limit(0)).collect() == []
 
 
@@ -131,10 +155,10 @@ def test_blocks_cuts_and_partitions_change_nothing(spark, monkeypatch):
     assert len(want) > 100 and {s for _, s in want} == {"spike", "stuck"}
     found = lambda d: {(r.event_id, r.state) for r in anomalies.implausible_readings(d, ("temperature_c",)).collect()}
     assert found(df) == want
-    monkeypatch.setattr(anomalies, "HOT", 1000)
+    monkeypatch.setattr(shards, "HOT", 1000)
     for quantiles, piece, rows, named in ((16, 6_250, 100_000, 10_000), (8, 100, 100_000, 10_000), (16, 6_250, 500, 10_000), (32, 6_250, 100_000, 0)):
-        for name, value in (("QUANTILES", quantiles), ("PIECE", piece), ("ROWS", rows), ("NAMED", named)):
-            monkeypatch.setattr(anomalies, name, value)
+        for module, name, value in ((shards, "QUANTILES", quantiles), (anomalies, "PIECE", piece), (anomalies, "ROWS", rows), (shards, "NAMED", named)):
+            monkeypatch.setattr(module, name, value)
         assert found(df.repartition(3)) == want
         monkeypatch.setattr(anomalies, "SHARD", 4)
     assert anomalies.implausible_readings(df.limit(0), ("temperature_c",)).collect() == []
@@ -305,7 +329,8 @@ def test_history_against_brute_force(spark, tmp_path):
     assert history.assignment_history(df.limit(0)).collect() == []
 
 
-def test_as_known_against_brute_force(spark):
+@pytest.mark.parametrize("named", [0, 10_000])
+def test_as_known_against_brute_force(spark, monkeypatch, named):
     r = random.Random(6)
     rows = evidence(r, 150)
     _, disputed = brute_chains(rows)
@@ -317,7 +342,9 @@ def test_as_known_against_brute_force(spark):
     for d, m, c, s, x, _, at in rows:
         if all(v and str(v).strip() for v in (d, m, c, s, x)):
             facts[m.strip()].append((d, at, s.strip()))
-    got = {x.event_id: x for x in asof.as_known(df, usable, "site_id", shard_s=3 * 86_400).collect()}
+    for module, name, value in ((shards, "HOT", 40), (shards, "QUANTILES", 8), (shards, "NAMED", named), (asof, "PIECE", 7)):
+        monkeypatch.setattr(module, name, value)
+    got = {x.event_id: x for x in asof.as_known(df, usable, "site_id").collect()}
     assert len(got) == len(events) and all(x._m == "clash" for x in got.values())
     for i, m, t, _ in events:
         if m in disputed:
@@ -432,4 +459,7 @@ def test_trailing_totals_against_brute_force(spark):
             d += timedelta(1)
     got = {(x.k, x.d): (float(x.total_7d), float(x.total_30d)) for x in rolling.trailing_totals(df, "k", "d", "v").collect()}
     assert got == want
+    huge = spark.createDataFrame([("a", start, 6e7), ("a", start + timedelta(8), 0.1), ("b", start, 1e300), ("b", start + timedelta(40), 0.1)], "k string, d date, v double")
+    last = {x.k: (float(x.total_7d), float(x.total_30d)) for x in rolling.trailing_totals(huge, "k", "d", "v").where("d = '2026-01-09' or d = '2026-02-10'").collect()}
+    assert last == {"a": (0.1, 60000000.1), "b": (0.1, 0.1)}
     assert rolling.trailing_totals(df.limit(0), "k", "d", "v").collect() == []
