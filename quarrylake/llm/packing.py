@@ -1,14 +1,14 @@
 """Filling containers of fixed capacity with items of varying size.
 
 Items are gathered where they lie, a bounded number of containers at a time; Karmarkar-Karp differencing spreads each
-batch over as few containers as its sizes allow. No shuffle, no global state: the space lost is that of each batch's
-rounding, and of one last batch per input partition.
+batch over windows of nearly equal load, and the window count rises while a window exceeds the capacity. No shuffle, no
+global state: the space lost is that of each batch's rounding, and of one last batch per input partition.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 
 from quarrylake.functions.shipping import shipped
 
-#: Containers of a batch, and the share of its items' size that is left for the next batch, as far as possible in small
-#: items, which fill the room that large ones leave.
-WIDTH, SHED = 256, 0.04
+#: Containers of a batch, and the share of their room that is left free, which differencing needs to even out.
+WIDTH, FREE = 256, 0.001
 #: Items put back, while a batch is gathered, because they would overfill it.
 HELD = 256
+#: How many of the emptiest windows a window that exceeds the capacity is differenced with, one after the other.
+PARTNERS = 32
 
 
 def difference(sizes: list[int], k: int) -> tuple[list[list[int]], list[int]]:
@@ -67,50 +68,41 @@ def difference(sizes: list[int], k: int) -> tuple[list[list[int]], list[int]]:
     return windows, loads
 
 
-def settle(sizes: list[int], windows: list[list[int]], capacity: int) -> list[int]:
-    """Takes the smallest items out of windows that exceed capacity and puts each, largest first, where it leaves least room. Returns those that fit nowhere."""
-    out: list[int] = []
-    rooms: list[tuple[int, int]] = []
-    for w, items in enumerate(windows):
-        items.sort(key=sizes.__getitem__, reverse=True)
-        load = sum(sizes[i] for i in items)
-        while load > capacity:
-            load -= sizes[items[-1]]
-            out.append(items.pop())
-        rooms.append((capacity - load, w))
-    rooms.sort()
-    left = []
-    for i in sorted(out, key=sizes.__getitem__, reverse=True):
-        at = bisect_left(rooms, (sizes[i], -1))
-        if at == len(rooms):
-            left.append(i)
-            continue
-        room, w = rooms.pop(at)
-        windows[w].append(i)
-        insort(rooms, (room - sizes[i], w))
-    return left
-
-
-def windows_of(sizes: list[int], capacity: int, put_back: float = 0.0) -> tuple[list[list[int]], list[int]]:
-    """(windows of at most capacity, items put back), both as item numbers; no size is greater than capacity.
-
-    The window count rises until no more than the share put_back of the items fits nowhere.
-    """
-    k = max(1, -(-int(sum(sizes) * (1 - SHED * (put_back > 0))) // capacity), sum(s * 2 > capacity for s in sizes))
+def even_out(sizes: list[int], windows: list[list[int]], loads: list[int], capacity: int) -> bool:
+    """Differences each window that exceeds capacity once more, with one of the emptiest, into two. Whether none exceeds it then."""
+    order = sorted(range(len(windows)), key=loads.__getitem__)
+    while order and loads[a := order.pop()] > capacity:
+        for at, b in enumerate(order[:PARTNERS]):
+            if loads[a] + loads[b] > 2 * capacity:
+                return False
+            both = windows[a] + windows[b]
+            pair, load = difference([sizes[i] for i in both], 2)
+            if max(load) <= capacity:
+                (windows[a], windows[b]), (loads[a], loads[b]) = [[both[i] for i in w] for w in pair], load
+                order.pop(at)
+                break
+        else:
+            return False
+    return True
+
+
+def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows of at most capacity, as item numbers; no size is greater than capacity. The window count rises until none exceeds it."""
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
-        windows = difference(sizes, k)[0]
-        left = settle(sizes, windows, capacity)
-        if len(left) <= put_back * len(sizes):
-            return [w for w in windows if w], left
-        k += max(1, sum(sizes[i] for i in left) // capacity)
+        windows, loads = difference(sizes, k)
+        if even_out(sizes, windows, loads, capacity):
+            return windows
+        k += 1
 
 
 def pack(items: Iterable[tuple[int, object]], capacity: int) -> Iterator[list[tuple[int, object]]]:
     """Cuts a stream of (size, item), sizes from 1 to capacity, into containers. Holds a bounded number of items.
 
-    A batch's room is filled with the items put back before and then from the stream; what would overfill it waits.
+    A batch's room is filled with the items put back before and then from the stream; what would overfill it waits. An
+    item of just the capacity is a container of its own.
     """
-    room = WIDTH * capacity
+    room = int(WIDTH * capacity * (1 - FREE))
     stream, more, held = iter(items), True, []
     while more or held:
         batch, total, kept = [], 0, []
@@ -125,14 +117,14 @@ def pack(items: Iterable[tuple[int, object]], capacity: int) -> Iterator[list[tu
             x = next(stream, None)
             if x is None:
                 more = False
+            elif x[0] == capacity:
+                yield [x]
             elif total + x[0] <= room:
                 batch.append(x)
                 total += x[0]
             else:
                 held.append(x)
-        windows, back = windows_of([x[0] for x in batch], capacity, 0.25 if more else 0.0)
-        held = [batch[i] for i in back] + held
-        for w in windows:
+        for w in windows_of([x[0] for x in batch], capacity) if batch else ():
             yield [batch[i] for i in w]
 
 

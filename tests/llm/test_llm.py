@@ -146,6 +146,29 @@ def test_difference_keeps_all_items():
         assert loads == [sum(sizes[i] for i in w) for w in windows]
 
 
+def test_window_count_rises_until_all_fits():
+    for sizes, count in (([6, 6, 6], 3), ([5, 5, 5, 5], 2), ([7, 7, 3, 3], 2), ([9, 1, 8, 2], 2), ([6] * 7, 7), ([1], 1)):
+        windows = packing.windows_of(sizes, 10)
+        assert len(windows) == count and sorted(i for w in windows for i in w) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in w) <= 10 for w in windows)
+    # batches in midstream are filled by differencing: nearly equal loads, and nothing left over
+    r = random.Random(5)
+    sizes = [min(2047, int(r.lognormvariate(5.0, 0.9)) + 1) for _ in range(3000)]
+    windows = packing.windows_of(sizes, 2048)
+    loads = [sum(sizes[i] for i in w) for w in windows]
+    assert max(loads) <= 2048 and sum(sizes) / (2048 * len(loads)) > 0.985 and max(loads) - sorted(loads)[len(loads) // 20] < 100
+
+
+def test_fill_on_documents(spark):
+    """The share of the room used on all documents of the largest test data, in one partition."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no data")
+    sized = bpe.token_counts(spark.read.parquet(path).coalesce(1))
+    rows = packing.containers(sized).select("container", "n_tokens").collect()
+    assert sum(r.n_tokens for r in rows) / (2048 * len({r.container for r in rows})) >= 0.996
+
+
 @pytest.fixture(scope="module")
 def samples(data):
     import pyarrow.parquet as pq
