@@ -7,6 +7,7 @@ character, given what its text is mostly in; what no model explains about as wel
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.functions.shipping import shipped
@@ -23,8 +25,6 @@ from quarrylake.functions.shipping import shipped
 ORDER = 6
 #: Weight of a text's main language for each of its lines, and of all others together.
 MAIN = 0.7
-#: Labelled samples that are taken at most, in order of their ids.
-MAX_SAMPLES = 10_000
 #: Bound of the table of scored chunks; beyond it, it starts anew.
 MAX_CHUNKS = 200_000
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -168,20 +168,63 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Identifier:
-    """The models with what rejects: no line is worse explained than the worst held-out sample by more than slack per character."""
+    """The models with what rejects and what tempers, both from samples held out in folds.
 
-    def __init__(self, samples: list[tuple[str, str]], labelled: Iterable[tuple[str, str]] = (), folds: int = 4, slack: float = 0.5):
-        worst = [0.0]
+    floor: no line is worse explained than the worst held-out sample by more than slack per character. temper: what log
+    probabilities are divided by before they become a confidence (characters of a word aren't independent), so that it
+    fits best how often held-out snippets of few words are told right.
+    """
+
+    def __init__(self, samples: list[tuple[str, str]], labelled: Iterable[tuple[str, str]] = (), folds: int = 4, slack: float = 0.5, snippet: int = 3):
+        worst, short, truth = [0.0], [], []
         for f in range(folds):
             part = Models(count_words(x for i, x in enumerate(samples) if i % folds != f))
-            for _, text in samples[f::folds]:
+            for lang, text in samples[f::folds]:
                 logs, chars = part.score([w for c in text.split() for w in words_of(c)])
                 if len(chars) and part.langs:
                     worst.append(float(logs.sum(0).max() / chars.sum()))
+                    if lang in part.langs:
+                        parts = np.add.reduceat(logs.astype(float), np.arange(0, len(logs), snippet), axis=0)
+                        parts -= parts.max(1, keepdims=True)
+                        right = np.zeros_like(parts, bool)
+                        right[:, part.langs.index(lang)] = True
+                        short.append(parts.ravel())
+                        truth.append((right.ravel(), len(part.langs)))
         self.floor = min(worst) - slack
+        self.temper = _temper(short, truth)
         words = count_words(samples)
         self.models = adapt(Models(words), words, labelled)
 
+    def to_bytes(self) -> bytes:
+        """The fitted identifier as an archive of arrays, to be kept beside the data and read by from_bytes."""
+        m, out = self.models, io.BytesIO()
+        tables = {f"{n}_{i}_{j}": a for n, pair in enumerate(m.tables) for i, arrays in enumerate(pair) for j, a in enumerate(arrays)}
+        np.savez_compressed(out, langs=np.array(m.langs, "U"), scalars=np.array([m.order, m.alphabet, self.floor, self.temper]), **tables)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, content: bytes) -> Identifier:
+        with np.load(io.BytesIO(content), allow_pickle=False) as z:
+            it, m = cls.__new__(cls), Models.__new__(Models)
+            order, alphabet, it.floor, it.temper = z["scalars"].tolist()
+            m.langs, m.order, m.alphabet = z["langs"].tolist(), int(order), int(alphabet)
+            m.tables = [tuple((z[f"{n}_{i}_0"], z[f"{n}_{i}_1"]) for i in (0, 1)) for n in range(m.order)]
+            it.models = m
+        return it
+
+
+def _temper(short: list[np.ndarray], truth: list[tuple[np.ndarray, int]]) -> float:
+    """Of some divisors the one under which what is true is most probable."""
+
+    def surprise(t: float) -> float:
+        total = 0.0
+        for logs, (right, langs) in zip(short, truth):
+            rows = logs.reshape(-1, langs) / t
+            total += float((np.log(np.exp(rows).sum(1)) - rows.ravel()[right]).sum())
+        return total
+
+    return min(np.geomspace(1, 16, 25).tolist(), key=surprise) if short else 3.0
+
 
 class _Chunks(dict):
     """Row of each chunk's scores in a table that grows; row 0 is for chunks without words."""
@@ -230,17 +273,13 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Divides log probabilities before they become a confidence: characters of a word aren't independent.
-TEMPER = 3.0
-
-
-def _decide(logs: np.ndarray, chars: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+def _decide(logs: np.ndarray, chars: np.ndarray, floor: float, temper: float) -> tuple[np.ndarray, np.ndarray]:
     """(language number or -1, confidence) of each row of log probabilities."""
     if not logs.size:  # no rows, or no languages
         return np.full(len(logs), -1), np.zeros(len(logs))
     best = logs.argmax(1)
     top = logs[np.arange(len(logs)), best]
-    confidence = 1 / np.exp((logs - top[:, None]) / TEMPER).sum(1)
+    confidence = 1 / np.exp((logs - top[:, None]) / temper).sum(1)
     known = (chars > 0) & (top >= floor * np.maximum(chars, 1))
     return np.where(known, best, -1), np.where(known, confidence, 0.0)
 
@@ -287,7 +326,7 @@ def _identify(batch: pa.RecordBatch, shared: Broadcast) -> pa.RecordBatch:
     ends = np.array(line_ends, np.int64)
     logs, chars = _sums(chunks.scores[at], ends), _sums(chunks.chars[at], ends)
     doc_logs, doc_chars = _sums(logs, docs), _sums(chars, docs)
-    doc_lang, doc_confidence = _decide(doc_logs, doc_chars, it.floor)
+    doc_lang, doc_confidence = _decide(doc_logs, doc_chars, it.floor, it.temper)
 
     # a line is more likely in what its text is mostly in
     n = np.diff(np.r_[0, docs])
@@ -297,7 +336,7 @@ def _identify(batch: pa.RecordBatch, shared: Broadcast) -> pa.RecordBatch:
     has = np.flatnonzero((main >= 0) & (chars > 0))
     prior = np.zeros_like(logs)
     prior[has, main[has]] = np.log(MAIN * others / (1 - MAIN))
-    lang, confidence = _decide(logs + prior, chars, it.floor)
+    lang, confidence = _decide(logs + prior, chars, it.floor, it.temper)
 
     names = pa.array([*it.models.langs, None], pa.string())
     take = lambda c, i: c.take(pa.array(i))
@@ -316,17 +355,20 @@ def stated(label: Column) -> Column:
     return F.when(code != "", F.lower(code))
 
 
-def fit(samples: DataFrame, documents: DataFrame | None = None, max_labelled: int = 3000) -> Identifier:
-    """An identifier from labelled samples (sample_id, lang, sample_text) and about max_labelled of the documents whose label states one of their languages.
+def fit(samples: DataFrame, documents: DataFrame | None = None, max_samples: int = 1000, max_labelled: int = 3000) -> Identifier:
+    """An identifier from labelled samples (sample_id, lang, sample_text) and documents whose label states one of their languages.
 
-    The documents are chosen by a hash of their id over the whole table; their own labels may be wrong, see adapt.
+    Both are bounded samples, chosen by a hash over the whole tables: of each language max_samples samples, and of all
+    documents max_labelled, whose own labels may be wrong, see adapt. Each table is read once; what reaches the driver is
+    bounded by these two numbers, whatever ids are missing or repeated.
     """
-    rows = samples.where("lang is not null and sample_text is not null").orderBy("sample_id").limit(MAX_SAMPLES).select("lang", "sample_text").collect()
-    pairs = [(r[0], r[1]) for r in rows]
+    order = F.xxhash64("sample_id", "sample_text")
+    some = samples.where("lang is not null and sample_text is not null").select("lang", "sample_text", "sample_id", order.alias("_h"))
+    some = some.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h", "sample_id", "sample_text"))).where(F.col("_r") <= max_samples)
+    pairs = [(r[0], r[1]) for r in sorted(some.select("lang", "sample_text", "sample_id").collect(), key=lambda r: (r[2] is None, r[2] or 0, r[1]))]
     labelled: list[tuple[str, str]] = []
     if documents is not None and pairs:
         known = documents.select("doc_id", stated(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(sorted({p[0] for p in pairs})))
-        n = known.count()
-        picked = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < max_labelled) & F.col("text").isNotNull())
-        labelled = [(r[0], r[1]) for r in picked.select("lang", "text").collect()]
+        known = known.where("text is not null").withColumn("_h", F.xxhash64("doc_id", "text"))
+        labelled = [(r[0], r[1]) for r in known.orderBy("_h", "doc_id", "text", "lang").limit(max_labelled).select("lang", "text").collect()]
     return Identifier(pairs, labelled)

@@ -230,6 +230,49 @@ def test_found_lines_are_mostly_right(spark, data):
     assert found.columns == ["doc_id", "line_no", "lang"] and 0 < found.count() < 0.4 * lines and found.where("lang is null").count() == 0
 
 
+def test_recall_and_precision_of_planted_languages(spark, samples):
+    """Texts of held-out samples in one to three languages: lines that aren't in the stated language, found through the operator."""
+    identifier = langid.Identifier([s for i, s in enumerate(samples) if i % 4])
+    held, r = samples[::4], random.Random(4)
+    docs, want = [], set()
+    for d in range(300):
+        lines = [r.choice(held)] * 4 if d % 3 else [r.choice(held) for _ in range(3)] + [("", "12:30 TRK-PIN-08 -> 0x41")]
+        label = r.choice([lines[0][0], lines[0][0].upper(), r.choice(held)[0], "??", None])
+        docs.append((d, "\n".join(t.replace("\n", " ") for _, t in lines), label))
+        states = label.lower() if label and len(label) == 2 and label != "??" else None
+        want |= {(d, i, lang) for i, (lang, _) in enumerate(lines) if lang and lang != states}
+    lines = langid.identify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), identifier).where("line_no is not null and lang is not null").collect()
+    labels = {d: label.lower() if label and len(label) == 2 and label != "??" else None for d, _, label in docs}
+    got = {(x.doc_id, x.line_no, x.lang) for x in lines if x.lang != labels[x.doc_id]}
+    assert len(got & want) / len(want) >= 0.99 and len(got & want) / len(got) >= 0.99
+    # the confidence fits: of lines with little confidence fewer are right
+    assert np.mean([x.confidence for x in lines]) > 0.9 and 1 <= identifier.temper <= 16
+
+
+def test_saved_models_are_the_same(samples):
+    it = langid.Identifier(samples[:80], samples[80:100])
+    back = langid.Identifier.from_bytes(it.to_bytes())
+    words = [w for _, t in samples for c in t.split() for w in langid.words_of(c)]
+    assert (it.models.score(words)[0] == back.models.score(words)[0]).all()
+    assert (it.floor, it.temper, it.models.langs) == (back.floor, back.temper, back.models.langs)
+
+
+def test_fit_is_bounded(spark):
+    """Missing and repeated ids can't lift the bounds, and no language is lost to them."""
+    rows = [(None if i % 2 else 1, lang, f"{lang} wort {i % 7} text") for lang in ("aa", "zz") for i in range(60)]
+    samples = spark.createDataFrame(rows, "sample_id int, lang string, sample_text string")
+    documents = spark.createDataFrame([(None, "aa", f"text {i}") for i in range(200)], "doc_id bigint, lang string, text string")
+    seen = []
+    original = langid.Identifier.__init__
+    langid.Identifier.__init__ = lambda self, pairs, labelled=(): seen.append((pairs, labelled)) or original(self, pairs, labelled)
+    try:
+        langid.fit(samples, documents, max_samples=5, max_labelled=20)
+    finally:
+        langid.Identifier.__init__ = original
+    pairs, labelled = seen[0]
+    assert {lang: sum(p[0] == lang for p in pairs) for lang in ("aa", "zz")} == {"aa": 5, "zz": 5} and len(labelled) == 20
+
+
 def test_no_samples_no_language(spark):
     got = identified(spark, [], ["some text", None])
     assert all(r.lang is None for r in got.values())
