@@ -51,11 +51,6 @@ def check_run(run_id: str, generated_at: str) -> None:
         raise ValueError("generated_at must look like 2026-01-31T12:00:00Z")
 
 
-def signed_two(x: Column) -> Column:
-    """x rounded half away from zero to two places."""
-    return F.when(x < 0, -two(-x)).otherwise(two(x))
-
-
 def daily_actuals(uptime: DataFrame) -> DataFrame:
     """Downtime, machines, uptime and health of each segment's observed days."""
     return uptime.where("event_date is not null").groupBy("event_date", *SEGMENT).agg(
@@ -97,14 +92,14 @@ def validation(daily: DataFrame, config: Config, run_id: str, generated_at: str)
             "absolute_error_minutes": two(F.abs(actual - guess)),
             "squared_error_minutes": (actual - guess) * (actual - guess),
             "absolute_percentage_error": F.when(actual > 0, F.abs(actual - guess) / actual),
-            "residual_minutes": signed_two(actual - guess),
+            "residual_minutes": two(actual - guess),
         }
     )
     deviation, mae = two(F.stddev_samp("residual_minutes").over(whole)), two(F.avg("absolute_error_minutes").over(whole))
     rows = rows.withColumn("_pad", F.when(_known(), F.coalesce(deviation, mae)).otherwise(F.lit(0.0)))
     rows = rows.withColumns(
         {
-            "validation_interval_lower_minutes": F.greatest(F.lit(0.0), signed_two(guess - F.col("_pad"))),
+            "validation_interval_lower_minutes": F.greatest(F.lit(0.0), two(guess - F.col("_pad"))),
             "validation_interval_upper_minutes": two(guess + F.col("_pad")),
         }
     )
@@ -168,7 +163,7 @@ def forecast(daily: DataFrame, config: Config, run_id: str, generated_at: str) -
         *SEGMENT,
         "machine_count",
         guess,
-        F.greatest(F.lit(0.0), signed_two(guess - pad)).alias("prediction_interval_lower_minutes"),
+        F.greatest(F.lit(0.0), two(guess - pad)).alias("prediction_interval_lower_minutes"),
         two(guess + pad).alias("prediction_interval_upper_minutes"),
         "recent_avg_uptime_pct",
         "recent_avg_health_score",
@@ -216,7 +211,7 @@ def diagnostics(validated: DataFrame) -> DataFrame:
         F.max("event_date").alias("latest_validation_date"),
         two(F.avg("actual_downtime_minutes")).alias("avg_actual_downtime_minutes"),
         two(F.avg("forecast_downtime_minutes")).alias("avg_forecast_downtime_minutes"),
-        signed_two(F.avg(residual)).alias("mean_error_minutes"),
+        two(F.avg(residual)).alias("mean_error_minutes"),
         two(F.avg("absolute_error_minutes")).alias("mae_downtime_minutes"),
         two(F.sqrt(F.avg("squared_error_minutes"))).alias("rmse_downtime_minutes"),
         F.count("absolute_percentage_error").alias("percentage_error_observation_count"),

@@ -16,8 +16,12 @@ FAILURE_COLUMNS = (
 
 
 def two(x: Column) -> Column:
-    """x rounded half up to two places. The small excess takes in halves that lost their last bit."""
-    return F.floor(x * 100 + 0.5000001) / 100.0
+    """x rounded to two places, halves away from zero, as a double.
+
+    Rounded as a decimal of ten places, which sums and averages in binary are exact to whatever the order of their terms.
+    What a decimal can't hold has no places to round.
+    """
+    return F.coalesce(F.round(x.try_cast("decimal(38,10)"), 2).cast("double"), x.cast("double"))
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -4,7 +4,7 @@ from quarrylake.plans.problem_sql import _USABLE, TS_SHAPE, _epoch, _num
 
 
 def two(x: str) -> str:
-    return f"(floor(({x}) * 100 + 0.5000001) / 100.0)"
+    return f"coalesce(cast(round(try_cast({x} as decimal(38,10)), 2) as double), cast({x} as double))"
 
 
 def share(a: str, b: str) -> str:
@@ -80,21 +80,17 @@ parts as (
 """
 )
 
+_RANK = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as severity_rank"
 _STAR_OBS = (
     MARTS
-    + """,
+    + f""",
 seen_days as (select event_date, machine_id, site_id, client_id, model from uptime union select event_date, machine_id, site_id, client_id, model from failures),
 unsettled as (
-  select distinct machine_id from (
-    select machine_id from seen_days group by machine_id, event_date
-    having count(*) > 1 or bool_or(trim(coalesce(model, ''), ' ') = '' or trim(site_id, ' ') = '' or trim(client_id, ' ') = '' or trim(machine_id, ' ') = ''))
-),
-settled_uptime as (select * from uptime where machine_id not in (select machine_id from unsettled)),
-settled_failures as (
-  select *, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as severity_rank
-  from failures where machine_id not in (select machine_id from unsettled)
+  select machine_id, event_date, count(*) as attribute_sets,
+    bool_or({" or ".join(f"trim(coalesce({c}, ''), ' ') = ''" for c in ("machine_id", "site_id", "client_id", "model"))}) as lacks_attribute
+  from seen_days group by machine_id, event_date having attribute_sets > 1 or lacks_attribute
 ),
-settled_days as (select * from seen_days where machine_id not in (select machine_id from unsettled))
+failure_facts as (select *, {_RANK} from failures)
 """
 )
 _ALL_DOWN = "coalesce(downtime_minutes, 0)"
@@ -136,7 +132,7 @@ summed as (
     count(distinct event_id) as ids, count(distinct event_date) as days, count(distinct date_trunc('month', event_date)) as months, {sums}
   from {source} group by all
 ),
-r as (select * from summed join gap_sum using ({keys}))
+r as (select s.*, g.intervals, g.min_gap, g.avg_gap, g.max_gap from summed s join gap_sum g on {" and ".join(f"s.{k} is not distinct from g.{k}" for k in keys.split(", "))})
 """
 
 
@@ -173,23 +169,26 @@ SQL = {
       vibration_mm_s, downtime_minutes, maintenance_cost_gbp, part_code, part_quantity from failures""",
     "mart_maintenance_costs": f"with {MARTS} select event_month, site_id, client_id, model, maint_n as maintenance_event_count, fail_n as failure_event_count, cost as maintenance_cost_gbp, down as downtime_minutes from costs",
     "mart_parts_usage": f"with {MARTS} select event_date, site_id, client_id, model, part_code, q as part_quantity, cost as associated_cost_gbp, machines as machine_count from parts",
-    "dim_machine": f"""with {_STAR_OBS}, steps as (
-        select *, lag(row(site_id, client_id, model)) over (partition by machine_id order by event_date) as before from settled_days
-      ), starts as (select * from steps where before is null or before <> row(site_id, client_id, model))
-      select machine_id, site_id, client_id, model, cast(row_number() over w as integer) as assignment_version, event_date as valid_from_date,
-        lead(event_date) over w - 1 as valid_to_date, lead(event_date) over w is null as is_current from starts window w as (partition by machine_id order by event_date)""",
-    "dim_date": f"""with {_STAR_OBS}, d as (select unnest(generate_series((select min(event_date) from settled_days), (select max(event_date) from settled_days), interval 1 day))::date as date_day)
+    "dim_machine": f"""with {_STAR_OBS}, sets as (select machine_id, event_date, list_sort(list({{'site_id': site_id, 'client_id': client_id, 'model': model}})) as s from seen_days group by all),
+      steps as (select *, lag(s) over (partition by machine_id order by event_date) as before from sets),
+      starts as (select *, lead(event_date) over (partition by machine_id order by event_date) as upto from steps where before is null or before is distinct from s),
+      versions as (select machine_id, event_date, upto, unnest(s) as v from starts)
+      select machine_id, v.site_id as site_id, v.client_id as client_id, v.model as model,
+        cast(row_number() over (partition by machine_id order by event_date, v.site_id nulls first, v.client_id nulls first, v.model nulls first) as integer) as assignment_version,
+        event_date as valid_from_date, upto - 1 as valid_to_date, upto is null as is_current from versions""",
+    "dim_date": f"""with {_STAR_OBS}, d as (select unnest(generate_series((select min(event_date) from seen_days), (select max(event_date) from seen_days), interval 1 day))::date as date_day)
       select cast(strftime(date_day, '%Y%m%d') as integer) as date_key, date_day, cast(year(date_day) as integer) as year, cast(quarter(date_day) as integer) as quarter,
         cast(month(date_day) as integer) as month, strftime(date_day, '%B') as month_name, cast(strftime(date_day, '%Y%m') as integer) as year_month_key, strftime(date_day, '%Y-%m') as year_month,
         cast(day(date_day) as integer) as day_of_month, cast(dayofweek(date_day) + 1 as integer) as day_of_week, strftime(date_day, '%A') as day_name, cast(weekofyear(date_day) as integer) as week_of_year,
         dayofweek(date_day) in (0, 6) as is_weekend from d""",
-    "dim_fault": f"with {_STAR_OBS} select distinct fault_code, severity, severity_rank from settled_failures",
-    "dim_site": f"with {_STAR_OBS} select distinct site_id, client_id from settled_days",
+    "dim_fault": f"with {_STAR_OBS} select distinct fault_code, severity, severity_rank from failure_facts",
+    "dim_site": f"with {_STAR_OBS} select distinct site_id, client_id from seen_days",
     "fact_uptime_natural": f"""with {_STAR_OBS} select event_date, client_id, site_id, machine_id, model, run as running_minutes, idle as idle_minutes, maint as maintenance_minutes, down as downtime_minutes,
-      seen as observed_minutes, uptime_pct, {share("idle", "seen")} as idle_pct, {share("down", "seen")} as downtime_pct, {share("maint", "seen")} as maintenance_pct from settled_uptime""",
+      seen as observed_minutes, uptime_pct, {share("idle", "seen")} as idle_pct, {share("down", "seen")} as downtime_pct, {share("maint", "seen")} as maintenance_pct from uptime""",
     "fact_failure_natural": f"""with {_STAR_OBS} select event_id, event_date, {_TS.format(c="event_ts_utc")} as event_ts_utc, client_id, site_id, machine_id, model, fault_code, severity, severity_rank,
-      downtime_minutes, maintenance_cost_gbp, part_code, part_quantity from settled_failures""",
-    "star_unsettled_machines": f"with {_STAR_OBS} select machine_id from unsettled",
+      downtime_minutes, maintenance_cost_gbp, part_code, part_quantity from failure_facts""",
+    "star_unsettled_machines": f"with {_STAR_OBS} select distinct machine_id from unsettled",
+    "star_unsettled_days": f"with {_STAR_OBS} select machine_id, event_date, attribute_sets, lacks_attribute from unsettled",
     "report_daily_uptime_by_site_model": f"""with {MARTS} select event_date, site_id, model, {two("avg(uptime_pct)")} as avg_uptime_pct, {_BIG("sum(down)", "attributed_downtime_minutes")},
       {two("avg(load_pct)")} as avg_downtime_load_pct, count_if(above) as attributed_downtime_above_observation_count, 'attributed_incident_v1' as downtime_semantics_version,
       {two("avg(health)")} as avg_health_score from uptime group by event_date, site_id, model""",
@@ -261,8 +260,8 @@ SQL = {
         case when seen <= 0 then 'site_has_no_observed_duration' when run <= 0 then 'site_has_no_operating_time' when k_seen < 2 then 'single_observed_site_reference' else 'multi_site_comparison' end as benchmark_status
       from r""",
     "report_failure_events_by_fault": f"""with {_STAR_OBS} select event_date, {_FK}, count(*) as failure_event_count, count(distinct machine_id) as affected_machine_count,
-      cast(sum(downtime_minutes) as bigint) as downtime_minutes, {two("sum(maintenance_cost_gbp)")} as maintenance_cost_gbp from settled_failures group by event_date, {_FK}""",
-    "report_machine_fault_recurrence": f"""with {_STAR_OBS}, {_recurrence("settled_failures", _R_KEYS, f"cast(sum({_ALL_DOWN}) as bigint) as down, {two('sum(maintenance_cost_gbp)')} as cost")}
+      cast(sum(downtime_minutes) as bigint) as downtime_minutes, {two("sum(maintenance_cost_gbp)")} as maintenance_cost_gbp from failure_facts group by event_date, {_FK}""",
+    "report_machine_fault_recurrence": f"""with {_STAR_OBS}, {_recurrence("failure_facts", _R_KEYS, f"cast(sum({_ALL_DOWN}) as bigint) as down, {two('sum(maintenance_cost_gbp)')} as cost")}
       select {_R_KEYS}, cast(row_number() over (partition by client_id, site_id, model order by n desc, days desc, down desc, cost desc, severity_rank desc, machine_id, fault_code, severity) as integer) as observed_recurrence_rank,
         first as first_observed_failure_date, latest as latest_observed_failure_date, {_TS.format(c="first_at")} as first_observed_failure_at_utc, {_TS.format(c="latest_at")} as latest_observed_failure_at_utc,
         n as observed_failure_event_count, ids as observed_failure_identity_count, n - 1 as repeat_observed_failure_event_count, days as observed_failure_day_count, months as observed_failure_month_count,
@@ -270,7 +269,7 @@ SQL = {
         {two("avg_gap")} as avg_days_between_observed_failure_days, cast(max_gap as integer) as max_days_between_observed_failure_days, down as attributed_downtime_minutes, cost as failure_related_cost_gbp,
         {ratio("down", "n")} as avg_attributed_downtime_per_failure_event_minutes, {ratio("cost", "n")} as avg_failure_related_cost_per_event_gbp, {_repeat("failure", "")} as observed_recurrence_status,
         'observed_failure_events_only' as recurrence_scope from r""",
-    "report_machine_part_usage_recurrence": f"""with {_STAR_OBS}, used as (select * from settled_failures where part_code <> 'NONE' and part_quantity > 0),
+    "report_machine_part_usage_recurrence": f"""with {_STAR_OBS}, used as (select * from failure_facts where part_code <> 'NONE' and part_quantity > 0),
       {_recurrence("used", _R_KEYS + ", part_code", f"cast(sum(part_quantity) as bigint) as q, cast(sum({_ALL_DOWN}) as bigint) as down, {two('sum(maintenance_cost_gbp)')} as cost")}
       select {_R_KEYS}, part_code, cast(row_number() over (partition by client_id, site_id, model order by q desc, n desc, cost desc, severity_rank desc, machine_id, fault_code, part_code, severity) as integer) as observed_part_usage_rank,
         first as first_observed_part_use_date, latest as latest_observed_part_use_date, {_TS.format(c="first_at")} as first_observed_part_use_at_utc, {_TS.format(c="latest_at")} as latest_observed_part_use_at_utc,
@@ -283,7 +282,7 @@ SQL = {
         select cast(date_trunc('month', event_date) as date) as event_month, client_id, site_id, model, part_code, count(*) as observed_part_event_count, count(distinct event_id) as observed_part_identity_count,
           count(distinct machine_id) as machines, count(distinct event_date) as observed_part_day_count, count(distinct row(fault_code, severity)) as associated_fault_count, cast(sum(part_quantity) as bigint) as recorded_part_quantity,
           cast(sum({_ALL_DOWN}) as bigint) as associated_attributed_downtime_minutes, {two("sum(maintenance_cost_gbp)")} as associated_failure_cost_gbp
-        from settled_failures where part_code <> 'NONE' and part_quantity > 0 group by all
+        from failure_facts where part_code <> 'NONE' and part_quantity > 0 group by all
       ), s as (
         select * exclude (machines), machines as affected_machine_count, {_shares({"recorded_part_quantity": "recorded_part_quantity", "observed_part_event_count": "observed_part_event", "associated_attributed_downtime_minutes": "associated_attributed_downtime", "associated_failure_cost_gbp": "associated_failure_cost"}, _PART_ORDER)},
           cast(row_number() over (partition by event_month, client_id, site_id, model order by {_PART_ORDER}) as integer) as part_usage_rank, count(*) over (partition by event_month, client_id, site_id, model) as recorded_part_count from p
@@ -292,7 +291,7 @@ SQL = {
         when total_associated_failure_cost_gbp <= 0 then 'part_quantity_without_recorded_cost' else 'part_usage_evidence_observed' end as part_usage_evidence_status, 'observed_failure_part_records_only' as part_usage_scope from s""",
     "report_fault_impact_concentration": f"""with {_STAR_OBS}, p as (
         select cast(date_trunc('month', event_date) as date) as event_month, {_FK}, count(*) as failure_event_count, count(distinct machine_id) as affected_machine_count,
-          cast(sum({_ALL_DOWN}) as bigint) as attributed_downtime_minutes, {two("sum(maintenance_cost_gbp)")} as maintenance_cost_gbp from settled_failures group by all
+          cast(sum({_ALL_DOWN}) as bigint) as attributed_downtime_minutes, {two("sum(maintenance_cost_gbp)")} as maintenance_cost_gbp from failure_facts group by all
       ), s as (
         select *, {_shares({"failure_event_count": "failure_event", "attributed_downtime_minutes": "attributed_downtime", "maintenance_cost_gbp": "maintenance_cost"}, _FAULT_ORDER)},
           cast(row_number() over (partition by event_month, client_id, site_id, model order by {_FAULT_ORDER}) as integer) as fault_impact_rank from p
@@ -308,10 +307,6 @@ SQL = {
 _SEG = "site_id, client_id, model"
 
 
-def _signed(x: str) -> str:
-    return f"(case when {x} < 0 then -{two(f'-({x})')} else {two(x)} end)"
-
-
 DAILY = (
     MARTS
     + f""",
@@ -323,14 +318,14 @@ past as (
   window w as (partition by {_SEG} order by event_date range between interval 28 days preceding and interval 1 day preceding)
 ),
 e as (
-  select *, {two("abs(actual - guess)")} as ae, (actual - guess) * (actual - guess) as se, case when actual > 0 then abs(actual - guess) / actual end as ape, {_signed("(actual - guess)")} as res
+  select *, {two("abs(actual - guess)")} as ae, (actual - guess) * (actual - guess) as se, case when actual > 0 then abs(actual - guess) / actual end as ape, {two("(actual - guess)")} as res
   from past where history > 0
 ),
 padded as (
   select *, case when model is null then 0.0 else coalesce({two("stddev_samp(res) over s")}, {two("avg(ae) over s")}) end as pad from e window s as (partition by {_SEG})
 ),
 v as (
-  select *, greatest(0.0, {_signed("(guess - pad)")}) as lo, {two("guess + pad")} as hi from padded
+  select *, greatest(0.0, {two("(guess - pad)")}) as lo, {two("guess + pad")} as hi from padded
 ),
 validated as (select *, actual >= lo and actual <= hi as covered from v)
 """
@@ -361,7 +356,7 @@ SQL["forecast_downtime"] = f"""with {DAILY}, l as (select *, max(event_date) ove
   j as (select n.*, coalesce(k, 0) as k, mae, rmse, mape, last_v, cov, coalesce(sd, mae, 0.0) as pad from n left join m using (site_id, client_id, model))
   select 'run-1' as forecast_run_id, '2026-04-01T00:00:00Z' as forecast_generated_at, latest + 7 as forecast_date, latest as latest_actual_date, 'calendar_rolling_mean' as model_name,
     'prior_calendar_days' as window_semantics, 28 as baseline_window_days, 7 as forecast_horizon_days, 14 as min_validation_observations, {_SEG}, machines as machine_count, guess as forecast_downtime_minutes,
-    greatest(0.0, {_signed("(guess - pad)")}) as prediction_interval_lower_minutes, {two("guess + pad")} as prediction_interval_upper_minutes, up as recent_avg_uptime_pct, health as recent_avg_health_score,
+    greatest(0.0, {two("(guess - pad)")}) as prediction_interval_lower_minutes, {two("guess + pad")} as prediction_interval_upper_minutes, up as recent_avg_uptime_pct, health as recent_avg_health_score,
     days as forecast_history_day_count, since as forecast_history_start_date, cast(date_diff('day', since, latest) + 1 as integer) as forecast_history_calendar_span_days, k as validation_observation_count,
     mae as mae_downtime_minutes, rmse as rmse_downtime_minutes, mape as mape_pct, cov as backtest_interval_coverage_pct, last_v as latest_validation_date, true as thresholds_configured,
     60.0::double as max_mae_downtime_minutes, 60.0::double as min_interval_coverage_pct, k >= 14 as meets_min_validation_samples, coalesce(mae <= 60, false) as meets_mae_threshold,
@@ -369,7 +364,7 @@ SQL["forecast_downtime"] = f"""with {DAILY}, l as (select *, max(event_date) ove
     case when k < 14 then 'insufficient_validation_history' when coalesce(mae <= 60 and cov >= 60, false) then 'validated_baseline' else 'accuracy_threshold_failed' end as forecast_status from j"""
 SQL["forecast_diagnostics"] = f"""with {DAILY}, w as (select * from validated qualify row_number() over (partition by {_SEG} order by ae desc, event_date desc) = 1),
   m as (
-    select {_SEG}, count(*) as k, min(event_date) as a, max(event_date) as z, {two("avg(actual)")} as aa, {two("avg(guess)")} as ag, {_signed("avg(res)")} as me, {two("avg(ae)")} as mae, {two("sqrt(avg(se))")} as rmse,
+    select {_SEG}, count(*) as k, min(event_date) as a, max(event_date) as z, {two("avg(actual)")} as aa, {two("avg(guess)")} as ag, {two("avg(res)")} as me, {two("avg(ae)")} as mae, {two("sqrt(avg(se))")} as rmse,
       count(ape) as pk, {two("avg(ape) * 100")} as mape, {two(_PCT)} as cov, count_if(res > 0) as u, count_if(res < 0) as o, count_if(res = 0) as x from validated group by all
   )
   select 'run-1' as forecast_run_id, 'calendar_rolling_mean' as model_name, 'prior_calendar_days' as window_semantics, 28 as baseline_window_days, m.client_id, m.site_id, m.model,

@@ -430,10 +430,11 @@ def _concentration(df: DataFrame, measures: dict[str, str], order: list[Column])
 
 
 def monthly_part_usage_concentration(f: Frames) -> DataFrame:
+    """Which parts a segment's failures used in a month. A machine with several versions in the month counts once."""
     parts = used_parts(_failure_facts(f)).groupBy(month_of(F.col("event_date")).alias("event_month"), *SEGMENT, "part_code").agg(
         F.sum("failure_event_count").alias("observed_part_event_count"),
         F.count_distinct("event_id").alias("observed_part_identity_count"),
-        F.count_distinct("machine_key").alias("affected_machine_count"),
+        F.count_distinct("machine_id").alias("affected_machine_count"),
         F.count_distinct("date_key").alias("observed_part_day_count"),
         F.count_distinct("fault_key").alias("associated_fault_count"),
         total("part_quantity").alias("recorded_part_quantity"),
@@ -463,9 +464,10 @@ def monthly_part_usage_concentration(f: Frames) -> DataFrame:
 
 
 def fault_impact_concentration(f: Frames) -> DataFrame:
+    """Which faults a segment's failures come from in a month. A machine with several versions in the month counts once."""
     faults = _failure_facts(f).groupBy(month_of(F.col("event_date")).alias("event_month"), *SEGMENT, *FAULT).agg(
         F.sum("failure_event_count").alias("failure_event_count"),
-        F.count_distinct("machine_key").alias("affected_machine_count"),
+        F.count_distinct("machine_id").alias("affected_machine_count"),
         total("downtime_minutes").alias("attributed_downtime_minutes"),
         two(total("maintenance_cost_gbp")).alias("maintenance_cost_gbp"),
     )
