@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from spark.checkpoint.dir. A folder of its own is set only where the session has none."""
+    """df, computed once and read back from the session's checkpoint folder, spark.checkpoint.dir.
+
+    Only a session on one machine may lack such a folder, and is given a temporary one; elsewhere that would lie on a
+    disk of its own for each executor, and raises.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

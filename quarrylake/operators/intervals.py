@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.functions.staging import stage
 from quarrylake.operators.shards import Cuts, cuts_of, with_piece
 
 #: Rows of a piece of a large entity's time.
@@ -35,43 +36,51 @@ def continuous_periods(intervals: DataFrame, keys: list[str], start: str, length
         (F.col(start) + F.col(length)).alias("_until"),
     )
     place = [*keys, "_piece"]
-    sessions = rows.groupBy(*place, F.session_window("_at", F.col("_gap")).alias("_session")).agg(F.max("_until").alias("_e"))
-    sessions = sessions.select(*place, F.unix_seconds("_session.start").alias("_s"), "_e")
-    if cuts is not None:  # how far the pieces before reach; NULL for entities that stay whole
-        reach = sessions.where("_piece >= 0").groupBy(*place).agg(F.max("_e").alias("_r"))
-        before = F.max("_r").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
-        reach = reach.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(place)], before.alias("_before"))
-        same = F.lit(True)
-        for i, k in enumerate(place):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        sessions = sessions.join(reach, same, "left").drop(*[f"_k{i}" for i in range(len(place))])
-    else:
-        sessions = sessions.withColumn("_before", F.lit(None).cast("bigint"))
-
-    # what only touches, or is reached from before
-    w = W.partitionBy(*place).orderBy("_s")
-    so_far = F.greatest(F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("_before"))
-    sessions = sessions.withColumn("_new", F.when(F.col("_s") <= so_far, 0).otherwise(1))
-    islands = sessions.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    periods = islands.groupBy(*place, "_island").agg(F.min("_s").alias("start_s"), F.max("_e").alias("end_s"))
-    following = F.lead("start_s").over(W.partitionBy(*place).orderBy("_island"))
-    periods = periods.withColumn("next_start_s", following)
-    out = [*keys, "start_s", "end_s", "next_start_s"]
+    sessions = rows.groupBy(*place, F.session_window("_at", F.col("_gap")).alias("_session")).agg(F.max("_until").alias("end_s"))
+    sessions = sessions.select(*place, F.unix_seconds("_session.start").alias("start_s"), "end_s")
+    periods = _stitched(sessions, place)
     if cuts is None:
-        return periods.select(*out)
+        return _with_next(periods, place).select(*keys, "start_s", "end_s", "next_start_s")
+    periods = stage(periods)
+    whole = _with_next(periods.where("_piece < 0"), place).select(*keys, "start_s", "end_s", "next_start_s")
+    return whole.unionByName(_across(periods.where("_piece >= 0"), keys))
+
+
+def _stitched(sessions: DataFrame, place: list[str], before: str | None = None) -> DataFrame:
+    """place, start_s, end_s and _island of periods out of what overlaps or touches within each place; island 0 is what is reached from before."""
+    w = W.partitionBy(*place).orderBy("start_s")
+    so_far = F.max("end_s").over(w.rowsBetween(W.unboundedPreceding, -1))
+    so_far = F.greatest(so_far, F.col(before)) if before else so_far
+    fresh = sessions.withColumn("_new", F.when(F.col("start_s") <= so_far, 0).otherwise(1))
+    islands = fresh.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.groupBy(*place, "_island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+
+
+def _with_next(periods: DataFrame, place: list[str]) -> DataFrame:
+    return periods.withColumn("next_start_s", F.lead("start_s").over(W.partitionBy(*place).orderBy("start_s")))
+
+
+def _across(periods: DataFrame, keys: list[str]) -> DataFrame:
+    """The periods of entities that are cut, joined across their pieces. No window holds more than a piece's periods or a few rows per piece."""
+    place = [*keys, "_piece"]
+    reach = periods.groupBy(*place).agg(F.max("end_s").alias("_r"))
+    before = F.max("_r").over(W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+    reach = reach.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(place)], before.alias("_before"))
+    same = F.lit(True)
+    for i, k in enumerate(place):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    periods = _with_next(_stitched(periods.drop("_island").join(reach, same), place, "_before"), place)
 
     # island 0 goes on with one of an earlier piece; a piece's last period may go on, and its next begins in a later piece
-    edge = (F.col("_piece") >= 0) & ((F.col("_island") == 0) | F.col("next_start_s").isNull())
-    inner = periods.where(~edge).select(*out)
-    marks = periods.where((F.col("_piece") >= 0) & ((F.col("_island") <= 1) | F.col("next_start_s").isNull()))
-    in_time = W.partitionBy(*keys).orderBy("_piece", "_island")
-    marks = marks.withColumn("_g", F.sum(F.when(F.col("_island") > 0, 1).otherwise(0)).over(in_time.rowsBetween(W.unboundedPreceding, 0)))
+    out = [*keys, "start_s", "end_s", "next_start_s"]
+    last = F.col("next_start_s").isNull()
+    inner = periods.where((F.col("_island") > 0) & ~last).select(*out)
     opens = F.col("_island") > 0
-    joined = marks.groupBy(*keys, "_g").agg(
-        F.min(F.when(opens, F.col("start_s"))).alias("start_s"), F.max("end_s").alias("end_s"), F.max(F.when(opens, F.col("next_start_s").isNull())).alias("_last")
-    )
-    joined = joined.withColumn("next_start_s", F.lead("start_s").over(W.partitionBy(*keys).orderBy("_g"))).where("_last")
-    return inner.unionByName(joined.select(*out))
+    marks = periods.where((F.col("_island") <= 1) | last)
+    in_time = W.partitionBy(*keys).orderBy("_piece", "_island").rowsBetween(W.unboundedPreceding, 0)
+    marks = marks.withColumn("_g", F.sum(F.when(opens, 1).otherwise(0)).over(in_time))
+    joined = marks.groupBy(*keys, "_g").agg(F.min(F.when(opens, F.col("start_s"))).alias("start_s"), F.max("end_s").alias("end_s"), F.max(opens & last).alias("_last"))
+    return inner.unionByName(_with_next(joined, keys).where("_last").select(*out))
 
 
 def seconds_of(minutes: Column) -> Column:

@@ -1,8 +1,8 @@
 """Cutting the time of entities with very many rows, where their rows lie dense.
 
-How many rows each entity has, and quantiles of their times, are read first. Most entities have few rows and stay whole;
-the others are cut at the quantiles, and very large ones evenly within these, so that a piece has about the rows asked
-for however they lie in time. What is read for it is a row per large entity.
+How many rows each entity has is read first, and quantiles of their times for those that have many. The others stay
+whole; these are cut at the quantiles, and very large ones evenly within, so that a piece has about the rows asked for
+however they lie in time. What is read for it is a row per large entity.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ NAMED = 10_000
 
 @dataclass(frozen=True)
 class Cuts:
-    """The entities that are cut, with their number of rows _n and cut times _cuts; how many pieces has is for piece_count."""
+    """The entities that are cut, with their number of rows _n and their cut times _cuts."""
 
     entity: str
     table: DataFrame
@@ -32,17 +32,24 @@ class Cuts:
 
 
 def cuts_of(times: DataFrame, entity: str, at: str) -> Cuts | None:
-    """The cuts of entities with more than HOT rows in times (entity, at: whole seconds); None where there are none."""
-    quantile = F.array_distinct(F.percentile_approx(at, [i / QUANTILES for i in range(QUANTILES + 1)], 2_000))
-    rows = times.select(entity, F.col(at).cast("bigint").alias(at)).where(F.col(entity).isNotNull() & F.col(at).isNotNull())
-    large = rows.groupBy(entity).agg(F.count("*").alias("_n"), quantile.alias("_cuts")).where(F.col("_n") > HOT)
+    """The cuts of entities with more than HOT rows in times (entity, at: whole seconds); None where there are none.
+
+    Rows are counted first, from the entity alone; only what is large has its times read.
+    """
+    large = times.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT)
     first = large.limit(NAMED + 1).collect()
     if not first:
         return None
-    if len(first) > NAMED:
-        return Cuts(entity, large, False)
-    kind = dict(times.dtypes)[entity]
-    return Cuts(entity, times.sparkSession.createDataFrame([tuple(r) for r in first], f"{entity} {kind}, _n bigint, _cuts array<bigint>"), True)
+    named = len(first) <= NAMED
+    # a filter goes below what computes the times, a join doesn't
+    rows = times.where(F.col(entity).isin([r[0] for r in first])) if named else times.join(large.select(entity), entity)
+    quantile = F.array_distinct(F.percentile_approx(F.col(at).cast("bigint"), [i / QUANTILES for i in range(QUANTILES + 1)], 2_000))
+    cut = rows.where(F.col(at).isNotNull()).groupBy(entity).agg(quantile.alias("_cuts"))
+    if not named:
+        return Cuts(entity, cut.join(large, entity), False)
+    counts, kind = dict(map(tuple, first)), dict(times.dtypes)[entity]
+    found = [(r[0], counts[r[0]], r[1]) for r in cut.collect()]
+    return Cuts(entity, times.sparkSession.createDataFrame(found, f"{entity} {kind}, _n bigint, _cuts array<bigint>"), True) if found else None
 
 
 def _slices(piece_rows: int):

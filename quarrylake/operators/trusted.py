@@ -64,6 +64,5 @@ def trusted_events(events: DataFrame, *columns: str) -> DataFrame:
 
 
 def landed_times(events: DataFrame) -> DataFrame:
-    """machine_id and epoch_s of every landed record, copies and contradictions included: what there is at least, read from two columns."""
-    rows = events.select(text_of(F.col("machine_id")).alias("machine_id"), epoch_of(F.col("event_ts")).alias("epoch_s"))
-    return rows.where("machine_id is not null and epoch_s is not null")
+    """machine_id and epoch_s of every landed record, copies and contradictions included: what there is at least, read from two columns. NULL where missing."""
+    return events.select(text_of(F.col("machine_id")).alias("machine_id"), epoch_of(F.col("event_ts")).alias("epoch_s"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.operators import forecast, marts, medallion, star
-from quarrylake.plans.staging import stage
+from quarrylake.functions.staging import stage
 
 
 class Frames:
