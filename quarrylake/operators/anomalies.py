@@ -152,59 +152,62 @@ def probabilities(x: np.ndarray, group: np.ndarray, stuck: np.ndarray, kind: Rea
     size = np.diff(np.r_[first, n])
     pieces = [(a, s, o, min(COLUMN, s - o)) for a, s in zip(first, size) for o in range(0, max(1, s - CONTEXT), COLUMN - CONTEXT)]
     pieces.sort(key=lambda p: -p[3])
-    start, length = np.array([a + o for a, s, o, m in pieces]), np.array([m for *_, m in pieces])
-    top, width = int(length[0]), len(start)
-    live = [int(np.searchsorted(-length, -t, "left")) for t in range(top)]  # columns longer than t
-    last = np.arange(width), length - 1
-    at = np.where(np.arange(top)[:, None] < length, start + np.arange(top)[:, None], 0)
-    same, stuck = same[at], stuck[at]
-    same[0] = False
-    leaves = stuck & ~np.concatenate([same[1:], np.zeros((1, width), bool)])
-    leaves[last[1], last[0]] = stuck[last[1], last[0]]
-    enters, again = stuck & ~same, np.where(same, REPEAT, 0.0)
-    weights = np.concatenate([jump[:, at].transpose(1, 0, 2), np.full((reach, reach, width), -np.inf)])  # by time, k, column
-    # spikes before a column's first normal reading, and after its last
-    lead, trail = np.full((reach, width), -np.inf), np.full((reach, width), -np.inf)
-    for k in range(reach):
-        has = np.flatnonzero(length > k)
-        a, z = start[has] + k, start[has] + length[has] - 1 - k
-        cost = odds(k) - kind.edge * (k > 0)
-        lead[k, has] = np.where(spikes[k][a], cost - (REPEAT * (repeats[a - 1] - repeats[start[has]]) if k > 1 else 0.0), -np.inf)
-        trail[k, has] = np.where(ahead_of[k][z], cost - (REPEAT * (repeats[z + k] - repeats[z + 1]) if k > 1 else 0.0), -np.inf)
-
-    # out[t + reach]: of all that ends with reading t as the last normal or stuck one
-    out, normal, held = np.full((top + reach, width), -np.inf), np.full((top, width), -np.inf), np.full((top, width), -np.inf)
-    for t in range(top):
-        m = live[t]
-        base = _log_sum(out[t : t + reach, :m][::-1] + weights[t, :, :m])
-        if t < reach:
-            base = np.logaddexp(base, lead[t, :m])
-        normal[t, :m] = base - again[t, :m]
-        held[t, :m] = np.where(enters[t, :m], base - STICK, np.where(same[t, :m], held[t - 1, :m], -np.inf))
-        out[t + reach, :m] = np.logaddexp(normal[t, :m], np.where(leaves[t, :m], held[t, :m], -np.inf))
-    # into[t]: of all that follows from stepping to reading t, with what t itself weighs
-    into, after, hold = np.full((top + reach, width), -np.inf), np.full((top, width), -np.inf), np.full((top + 1, width), -np.inf)
-    steps = np.arange(reach)
-    for t in range(top - 1, -1, -1):
-        m = live[t]
-        base = _log_sum(into[t + 1 : t + 1 + reach, :m] + weights[t + 1 + steps, steps, :m])
-        left = length[:m] - 1 - t
-        near = left < reach
-        if near.any():
-            base = np.where(near, np.logaddexp(base, trail[np.minimum(left, reach - 1), np.arange(m)]), base)
-        after[t, :m] = base
-        hold[t, :m] = np.where(leaves[t, :m], base, np.where(stuck[t, :m], hold[t + 1, :m], -np.inf))
-        into[t, :m] = np.logaddexp(base - again[t, :m], np.where(enters[t, :m], hold[t, :m] - STICK, -np.inf))
-    total = _log_sum(lead + into[:reach])
-
     spike, run = np.zeros(n), np.zeros(n)
     half = CONTEXT // 2
-    for c, (a, s, o, m) in enumerate(pieces):
-        lo, hi = (0 if o == 0 else half), (m if o + m >= s else m - half)
-        is_normal = np.exp(np.minimum(normal[lo:hi, c] + after[lo:hi, c] - total[c], 0.0))
-        is_stuck = np.exp(np.minimum(held[lo:hi, c] + hold[lo:hi, c] - total[c], 0.0))
-        spike[a + o + lo : a + o + hi] = np.maximum(1.0 - is_normal - is_stuck, 0.0)
-        run[a + o + lo : a + o + hi] = is_stuck
+    while pieces:  # columns of about one length together
+        some = [p for p in pieces if 2 * p[3] > pieces[0][3]]
+        pieces = pieces[len(some) :]
+        start, length = np.array([a + o for a, s, o, m in some]), np.array([m for *_, m in some])
+        top, width = int(length[0]), len(start)
+        live = [int(np.searchsorted(-length, -t, "left")) for t in range(top)]  # columns longer than t
+        last = np.arange(width), length - 1
+        at = np.where(np.arange(top)[:, None] < length, start + np.arange(top)[:, None], 0)
+        goes, held_at = same[at], stuck[at]
+        goes[0] = False
+        leaves = held_at & ~np.concatenate([goes[1:], np.zeros((1, width), bool)])
+        leaves[last[1], last[0]] = held_at[last[1], last[0]]
+        enters, again = held_at & ~goes, np.where(goes, REPEAT, 0.0)
+        weights = np.concatenate([jump[:, at].transpose(1, 0, 2), np.full((reach, reach, width), -np.inf)])  # by time, k, column
+        # spikes before a column's first normal reading, and after its last
+        lead, trail = np.full((reach, width), -np.inf), np.full((reach, width), -np.inf)
+        for k in range(reach):
+            has = np.flatnonzero(length > k)
+            a, z = start[has] + k, start[has] + length[has] - 1 - k
+            cost = odds(k) - kind.edge * (k > 0)
+            lead[k, has] = np.where(spikes[k][a], cost - (REPEAT * (repeats[a - 1] - repeats[start[has]]) if k > 1 else 0.0), -np.inf)
+            trail[k, has] = np.where(ahead_of[k][z], cost - (REPEAT * (repeats[z + k] - repeats[z + 1]) if k > 1 else 0.0), -np.inf)
+
+        # out[t + reach]: of all that ends with reading t as the last normal or stuck one
+        out, normal, held = np.full((top + reach, width), -np.inf), np.full((top, width), -np.inf), np.full((top, width), -np.inf)
+        for t in range(top):
+            m = live[t]
+            base = _log_sum(out[t : t + reach, :m][::-1] + weights[t, :, :m])
+            if t < reach:
+                base = np.logaddexp(base, lead[t, :m])
+            normal[t, :m] = base - again[t, :m]
+            held[t, :m] = np.where(enters[t, :m], base - STICK, np.where(goes[t, :m], held[t - 1, :m], -np.inf))
+            out[t + reach, :m] = np.logaddexp(normal[t, :m], np.where(leaves[t, :m], held[t, :m], -np.inf))
+        # into[t]: of all that follows from stepping to reading t, with what t itself weighs
+        into, after, hold = np.full((top + reach, width), -np.inf), np.full((top, width), -np.inf), np.full((top + 1, width), -np.inf)
+        steps = np.arange(reach)
+        for t in range(top - 1, -1, -1):
+            m = live[t]
+            base = _log_sum(into[t + 1 : t + 1 + reach, :m] + weights[t + 1 + steps, steps, :m])
+            left = length[:m] - 1 - t
+            near = left < reach
+            if near.any():
+                base = np.where(near, np.logaddexp(base, trail[np.minimum(left, reach - 1), np.arange(m)]), base)
+            after[t, :m] = base
+            hold[t, :m] = np.where(leaves[t, :m], base, np.where(held_at[t, :m], hold[t + 1, :m], -np.inf))
+            into[t, :m] = np.logaddexp(base - again[t, :m], np.where(enters[t, :m], hold[t, :m] - STICK, -np.inf))
+        total = _log_sum(lead + into[:reach])
+
+        for c, (a, s, o, m) in enumerate(some):
+            lo, hi = (0 if o == 0 else half), (m if o + m >= s else m - half)
+            is_normal = np.exp(np.minimum(normal[lo:hi, c] + after[lo:hi, c] - total[c], 0.0))
+            is_stuck = np.exp(np.minimum(held[lo:hi, c] + hold[lo:hi, c] - total[c], 0.0))
+            spike[a + o + lo : a + o + hi] = np.maximum(1.0 - is_normal - is_stuck, 0.0)
+            run[a + o + lo : a + o + hi] = is_stuck
     return spike, run
 
 
