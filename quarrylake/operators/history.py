@@ -7,8 +7,8 @@ rebuilt, each from all of its raw evidence, and their chains replace the old one
 from __future__ import annotations
 
 import json
-import os
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -79,6 +79,49 @@ def assignment_history(assignments: DataFrame) -> DataFrame:
     return rebuild_touched(build_chains(evidence.where(~is_late)), evidence, evidence.where(is_late))
 
 
+EVIDENCE = ("event_date", "machine_id", *IDENTITY, "assignment_evidence_source")
+
+
+def named_sources(sources: Mapping[str, DataFrame], most: int = 20) -> DataFrame:
+    """Evidence of several sources, of equal authority, each named by its key. Raises without a source, with too many, or with a name that is blank or longer than 64."""
+    if not 1 <= len(sources) <= most:
+        raise ValueError(f"from 1 to {most} sources are needed")
+    for name in sources:
+        if not isinstance(name, str) or not name.strip() or len(name) > 64:
+            raise ValueError(f"no name for a source: {name!r}")
+    parts = [sources[n].withColumn("assignment_evidence_source", F.lit(n.strip())) for n in sorted(sources)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _evidence(assignments: DataFrame) -> DataFrame:
+    texts = [text_of(F.col(c)).alias(c) for c in EVIDENCE[1:]]
+    rows = assignments.select(F.col("event_date").cast("date").alias("event_date"), *texts)
+    missing = F.lit(False)
+    for c in EVIDENCE[:-1]:
+        missing = missing | F.col(c).isNull()
+    return rows.withColumn("_missing", missing)
+
+
+def rejected_evidence(assignments: DataFrame) -> DataFrame:
+    """The distinct evidence that makes no history: rows without a date or an identity, and all rows of a machine's day on which sources disagree."""
+    rows = _evidence(assignments).distinct()
+    usable = rows.where("not _missing")
+    days = _per_day(usable).where("_disputed").select(F.col("machine_id").alias("_m"), F.col("event_date").alias("_d"))
+    disputed = usable.join(days, (F.col("machine_id") == F.col("_m")) & (F.col("event_date") == F.col("_d")), "left_semi")
+    return rows.where("_missing").unionByName(disputed).drop("_missing")
+
+
+def evidence_findings(assignments: DataFrame) -> DataFrame:
+    """finding, observed_count: rows without a date or an identity, a machine's days on which sources disagree, and what audit finds in the chains. Counts of 0 aren't listed."""
+    rows = _evidence(assignments)
+    missing = rows.agg(F.count_if("_missing").alias("observed_count")).select(F.lit("missing_assignment_identity").alias("finding"), "observed_count")
+    days = _per_day(rows.where("not _missing")).agg(F.count_if("_disputed").alias("observed_count")).select(F.lit("same_day_assignment_conflict").alias("finding"), "observed_count")
+    return missing.unionByName(days).unionByName(audit(assignment_history(assignments))).where("observed_count > 0")
+
+
 def with_sources(chains: DataFrame, assignments: DataFrame) -> DataFrame:
     """chains with assignment_evidence_source_count: over a version's days, the sources that each day's evidence has, summed."""
     texts = ("machine_id", *IDENTITY)
@@ -142,46 +185,79 @@ def audit(chains: DataFrame) -> DataFrame:
 class ChainStore:
     """Chains in buckets of entities on shared storage; a rebuild rewrites the touched buckets and shows them in one step.
 
-    Every bucket version is written to a folder of its own; `current.json` names the folder of each bucket and is
-    replaced by one rename, so that readers see all old or all new chains. root is a path that driver and executors
-    share.
+    Every bucket version is written to a folder of its own; the state files `state-{n}.json` name the folder of each
+    bucket, and the last one counts. A replacement shows by creating the next state file, which only one of several can:
+    the others raise and lose nothing but their work. Readers see all old or all new chains. root is a path of any file
+    system that Spark reads. The number of buckets is kept with the data. What no state names any more, sweep removes.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root, buckets
-
-    def _current(self) -> dict[str, str]:
+        self.spark, self.root = spark, root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda name: path(f"{self.root}/{name}")
+        self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path(self.root))
+        self.buckets = self._state()[1].get("buckets", buckets)
+
+    def _state(self) -> tuple[int, dict]:
+        """(number, content) of the last state; (0, {}) before the first replacement."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+        number = max((int(n[6:-5]) for n in names if n.startswith("state-") and n.endswith(".json")), default=0)
+        if not number:
+            return 0, {}
+        stream = self._fs.open(self._path(f"state-{number}.json"))
         try:
-            with open(os.path.join(self.root, "current.json")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+            return number, json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("machine_id"), F.lit(self.buckets))
 
+    def _read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts])
+
     def read(self) -> DataFrame | None:
-        """The chains now in force; None before the first replace."""
-        paths = [os.path.join(self.root, p) for p in self._current().values()]
-        return self.spark.read.parquet(*paths).drop("_bucket") if paths else None
+        """The chains now in force; None before the first replacement, or where none is left."""
+        parts = sorted(self._state()[1].get("parts", {}).values())
+        return self._read(parts) if parts else None
 
     def replace(self, evidence: DataFrame, touched: DataFrame) -> None:
-        """Rebuild the touched machines from evidence (all there is of them) and put their chains in force."""
-        keys = touched.select("machine_id").distinct()
+        """Rebuild the touched machines from evidence (all there is of them) and put their chains in force. Raises where another replacement came first."""
+        number, state = self._state()
+        now = dict(state.get("parts", {}))
+        keys = touched.where("machine_id is not null").select("machine_id").distinct()
         hit = [str(r[0]) for r in keys.select(self._bucket()).distinct().collect()]  # at most self.buckets numbers
-        now = self._current()
-        old = [os.path.join(self.root, now[b]) for b in hit if b in now]
         rebuilt = build_chains(evidence.join(keys, "machine_id", "left_semi"))
-        if old:
-            rebuilt = self.spark.read.parquet(*old).drop("_bucket").join(keys, "machine_id", "left_anti").unionByName(rebuilt)
-        run = uuid.uuid4().hex
-        rebuilt.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(os.path.join(self.root, run))
+        if old := [now[b] for b in hit if b in now]:
+            rebuilt = self._read(old).join(keys, "machine_id", "left_anti").unionByName(rebuilt)
+        run = f"run-{uuid.uuid4().hex}"
+        rebuilt.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{run}")
         for b in hit:
-            part = os.path.join(run, f"_bucket={b}")
-            if os.path.isdir(os.path.join(self.root, part)):
+            part = f"{run}/_bucket={b}"
+            if self._fs.exists(self._path(part)):
                 now[b] = part
             else:
                 now.pop(b, None)
-        with open(os.path.join(self.root, f".{run}.json"), "w") as f:
-            json.dump(now, f)
-        os.replace(os.path.join(self.root, f".{run}.json"), os.path.join(self.root, "current.json"))
+        self._show(number + 1, {"buckets": self.buckets, "parts": now})
+
+    def _show(self, number: int, state: dict) -> None:
+        draft, name = self._path(f"draft-{uuid.uuid4().hex}"), self._path(f"state-{number}.json")
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(bytearray(json.dumps(state).encode()))
+        finally:
+            stream.close()
+        # a rename onto a name that is there fails or is refused
+        if self._fs.exists(name) or not self._fs.rename(draft, name):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"{self.root} was replaced meanwhile; read it again")
+
+    def sweep(self) -> None:
+        """Removes the runs and states that the last state doesn't name. For a time without readers of older states."""
+        number, state = self._state()
+        runs = {p.split("/")[0] for p in state.get("parts", {}).values()}
+        for s in self._fs.listStatus(self._path("")):
+            name = s.getPath().getName()
+            if (name.startswith("run-") and name not in runs) or name.startswith("draft-") or (name.startswith("state-") and name != f"state-{number}.json"):
+                self._fs.delete(s.getPath(), True)

@@ -326,9 +326,35 @@ def test_history_against_brute_force(spark, tmp_path):
     touched = {x.machine_id for x in late.select("machine_id").distinct().collect()}
     have = pick(store.read())
     assert {x for x in have if x[0] in touched} == {x for x in want if x[0] in touched}
+    other = history.ChainStore(spark, str(tmp_path), buckets=64)
+    assert other.buckets == 4 and pick(other.read()) == have
+    number, state = other._state()
+    store.replace(usable, late.where("machine_id = 'M1'"))
+    with pytest.raises(RuntimeError):  # came second
+        other._show(number + 1, state)
+    assert pick(other.read()) == have
+    before = len(list(tmp_path.iterdir()))
+    store.sweep()
+    assert pick(store.read()) == have and len(list(tmp_path.iterdir())) < before
     assert history.assignment_history(df.limit(0)).collect() == []
 
 
+def test_sources_findings_and_rejected_evidence(spark):
+    d = date(2026, 1, 1)
+    rows = "event_date date, machine_id string, client_id string, site_id string, model string, _ingested_at timestamp"
+    at = datetime(2026, 1, 1, tzinfo=UTC)
+    a = spark.createDataFrame([(d, "M1", "C", "S1", "X", at), (d, " M2", "C", "S1", "X", at), (None, "M3", "C", "S", "X", at), (d, "M4", " ", "S", "X", at)], rows)
+    b = spark.createDataFrame([(d, "M1", "C", "S2", "X", at), (d, "M2", "C", "S1", "X", at), (d, "M1", "C", "S2", "X", at)], rows)
+    evidence = history.named_sources({"a": a, "b": b})
+    assert {(r.finding, r.observed_count) for r in history.evidence_findings(evidence).collect()} == {("missing_assignment_identity", 2), ("same_day_assignment_conflict", 1)}
+    rejected = sorted((r.machine_id, r.site_id, r.assignment_evidence_source) for r in history.rejected_evidence(evidence).collect())
+    assert rejected == [("M1", "S1", "a"), ("M1", "S2", "b"), ("M3", "S", "a"), ("M4", "S", "a")]
+    assert history.evidence_findings(evidence.limit(0)).collect() == [] and history.rejected_evidence(evidence.limit(0)).collect() == []
+    for bad in ({}, {" ": a}, {"x" * 65: a}, {str(i): a for i in range(21)}):
+        with pytest.raises(ValueError):
+            history.named_sources(bad)
+
+
 @pytest.mark.parametrize("named", [0, 10_000])
 def test_as_known_against_brute_force(spark, monkeypatch, named):
     r = random.Random(6)
