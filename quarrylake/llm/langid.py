@@ -359,8 +359,9 @@ def fit(samples: DataFrame, documents: DataFrame | None = None, max_samples: int
     """An identifier from labelled samples (sample_id, lang, sample_text) and documents whose label states one of their languages.
 
     Both are bounded samples, chosen by a hash over the whole tables: of each language max_samples samples, and of all
-    documents max_labelled, whose own labels may be wrong, see adapt. Each table is read once; what reaches the driver is
-    bounded by these two numbers, whatever ids are missing or repeated.
+    documents about max_labelled, never more, whose own labels may be wrong, see adapt. Of the documents the labels are
+    counted first, then the texts read once; what reaches the driver is bounded by these two numbers, whatever ids are
+    missing or repeated.
     """
     order = F.xxhash64("sample_id", "sample_text")
     some = samples.where("lang is not null and sample_text is not null").select("lang", "sample_text", "sample_id", order.alias("_h"))
@@ -369,6 +370,9 @@ def fit(samples: DataFrame, documents: DataFrame | None = None, max_samples: int
     labelled: list[tuple[str, str]] = []
     if documents is not None and pairs:
         known = documents.select("doc_id", stated(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(sorted({p[0] for p in pairs})))
-        known = known.where("text is not null").withColumn("_h", F.xxhash64("doc_id", "text"))
-        labelled = [(r[0], r[1]) for r in known.orderBy("_h", "doc_id", "text", "lang").limit(max_labelled).select("lang", "text").collect()]
+        # a little more than the share that is asked for, so that only about as many texts as are taken leave their tasks
+        share = min(1.0, 1.2 * max_labelled / max(1, known.select("lang").count()))
+        hashed = known.where("text is not null").withColumn("_h", F.xxhash64("doc_id", "text"))
+        picked = hashed.where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+        labelled = [(r[0], r[1]) for r in picked.orderBy("_h", "doc_id", "text", "lang").limit(max_labelled).select("lang", "text").collect()]
     return Identifier(pairs, labelled)

@@ -270,7 +270,7 @@ def test_fit_is_bounded(spark):
     finally:
         langid.Identifier.__init__ = original
     pairs, labelled = seen[0]
-    assert {lang: sum(p[0] == lang for p in pairs) for lang in ("aa", "zz")} == {"aa": 5, "zz": 5} and len(labelled) == 20
+    assert {lang: sum(p[0] == lang for p in pairs) for lang in ("aa", "zz")} == {"aa": 5, "zz": 5} and 10 <= len(labelled) <= 20
 
 
 def test_no_samples_no_language(spark):
