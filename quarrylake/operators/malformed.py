@@ -21,6 +21,8 @@ FIELD = rf'(?:{QUOTED}(?=,|\z)|(?!"){PLAIN}(?=,|\z))'
 #: What a field must hold, by its declared role; the text may carry blanks and quotes around it.
 REQUIRED_INSTANT, OPTIONAL_NUMBER = INSTANT, rf"(?:{NUMBER})?+"
 CHECKED = {"event_ts": REQUIRED_INSTANT, "hour_meter": OPTIONAL_NUMBER, "temperature_c": OPTIONAL_NUMBER}
+#: All that the contract declares: every instant and every number.
+ALL_CHECKED = {f.name: REQUIRED_INSTANT if f.kind == "instant" else OPTIONAL_NUMBER for f in EVENT_FIELDS if f.kind != "text"}
 
 
 def _typed(pattern: str) -> str:
@@ -67,35 +69,43 @@ def split_fields(line: Column) -> Column:
 
 
 def typed_event(get) -> list[Column]:
-    """The event's columns in their declared kinds; get gives a landed column by name."""
+    """The event's columns in their declared kinds, and unread_columns; get gives a landed column by name.
+
+    unread_columns names, in order, the columns whose text is there, but doesn't read and so became NULL; NULL where there are none.
+    """
     read = {"instant": lambda c: F.timestamp_seconds(epoch_of(c)), "text": text_of}
-    return [read.get(f.kind, number_of)(get(f.name)).alias(f.name) for f in EVENT_FIELDS]
+    typed = {f.name: read.get(f.kind, number_of)(get(f.name)) for f in EVENT_FIELDS}
+    unread = [F.when(text_of(get(f.name)).isNotNull() & typed[f.name].isNull(), F.lit(f.name)) for f in EVENT_FIELDS if f.kind != "text"]
+    names = F.concat_ws(",", *unread)
+    return [*[c.alias(n) for n, c in typed.items()], F.when(names != "", names).alias("unread_columns")]
 
 
-def load_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_lines(lines: DataFrame, checked: dict[str, str] = CHECKED) -> tuple[DataFrame, DataFrame]:
     """(sound, broken): typed events with record_id, and record_id with reason, of a table with record_id and raw_line.
 
-    An empty line is a record of one field. Further columns are ignored, repeated rows stay repeated.
+    checked are the fields that must read, in the order in which they are blamed; ALL_CHECKED are all. A value of another
+    field that doesn't read is NULL in the event and named in unread_columns. An empty line is a record of one field.
+    Further columns are ignored, repeated rows stay repeated.
     """
-    judged = lines.select("record_id", "raw_line", reason_of(F.col("raw_line")).alias("reason"))
+    judged = lines.select("record_id", "raw_line", reason_of(F.col("raw_line"), EVENT_FIELDS, checked).alias("reason"))
     at = {f.name: i for i, f in enumerate(EVENT_FIELDS)}
     fields = judged.where("reason is null").select("record_id", split_fields(F.col("raw_line")).alias("_f"))
     sound = fields.select("record_id", *typed_event(lambda n: F.get(F.col("_f"), at[n])))
     return sound, judged.where("reason is not null").select("record_id", "reason")
 
 
-def load_columns(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_columns(events: DataFrame, checked: dict[str, str] = CHECKED) -> tuple[DataFrame, DataFrame]:
     """(sound, broken) of records that are landed as 20 text columns and record_id."""
-    reason = column_reason()
+    reason = column_reason(checked)
     sound = events.where(reason.isNull()).select("record_id", *typed_event(F.col))
     return sound, events.select("record_id", reason.alias("reason")).where("reason is not null")
 
 
-def unreadable(lines: DataFrame, events: DataFrame) -> DataFrame:
+def unreadable(lines: DataFrame, events: DataFrame, checked: dict[str, str] = CHECKED) -> DataFrame:
     """record_id and reason of every unreadable record of both tables."""
-    return load_lines(lines)[1].unionByName(load_columns(events)[1])
+    return load_lines(lines, checked)[1].unionByName(load_columns(events, checked)[1])
 
 
-def loaded(lines: DataFrame, events: DataFrame) -> DataFrame:
+def loaded(lines: DataFrame, events: DataFrame, checked: dict[str, str] = CHECKED) -> DataFrame:
     """The sound records of both tables as typed events."""
-    return load_lines(lines)[0].unionByName(load_columns(events)[0])
+    return load_lines(lines, checked)[0].unionByName(load_columns(events, checked)[0])

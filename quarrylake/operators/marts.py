@@ -37,15 +37,19 @@ def month_of(day: Column) -> Column:
     return F.trunc(day, "month")
 
 
-def with_downtime_semantics(df: DataFrame) -> DataFrame:
-    """How downtime_minutes relates to observed_minutes. Load may exceed 100; it is NULL where downtime was recorded without observation."""
+def downtime_load() -> Column:
+    """Downtime in percent of observation. It may exceed 100; it is NULL where downtime was recorded without observation."""
     down, seen = F.col("downtime_minutes"), F.col("observed_minutes")
-    load = F.when(seen > 0, two(down / seen * 100)).when(down == 0, F.lit(0.0))
+    return F.when(seen > 0, two(down / seen * 100)).when(down == 0, F.lit(0.0))
+
+
+def with_downtime_semantics(df: DataFrame) -> DataFrame:
+    """How downtime_minutes relates to observed_minutes."""
     return df.withColumns(
         {
-            "downtime_load_pct": load,
-            "downtime_pct": load,
-            "downtime_exceeds_observed": down > seen,
+            "downtime_load_pct": downtime_load(),
+            "downtime_pct": downtime_load(),
+            "downtime_exceeds_observed": F.col("downtime_minutes") > F.col("observed_minutes"),
             "downtime_semantics_version": F.lit(SEMANTICS),
         }
     )
@@ -91,12 +95,23 @@ def parts_usage(silver: DataFrame) -> DataFrame:
 
 
 def asset_summary(uptime: DataFrame, failures: DataFrame) -> DataFrame:
-    """Each machine at a client's site. Failures are those of the machine there under any model, so two models repeat them."""
+    """Each machine at a client's site. Failures are those of the machine there under any model, so two models repeat them.
+
+    Days and failures meet in one aggregation by place: no join, and a place without observed days has no row.
+    """
     place = ("client_id", "site_id", "machine_id")
-    assets = uptime.groupBy(*place, "model").agg(
+    days = uptime.groupBy(*place, "model").agg(
         two(F.avg("uptime_pct")).alias("avg_uptime_pct"),
         two(F.avg("avg_health_score")).alias("avg_health_score"),
         F.sum("downtime_minutes").alias("total_downtime_minutes"),
     )
-    failed = failures.groupBy(*place).agg(F.count("*").alias("failure_event_count"), two(F.sum("maintenance_cost_gbp")).alias("failure_related_cost_gbp"))
-    return assets.join(failed, list(place), "left").fillna({"failure_event_count": 0, "failure_related_cost_gbp": 0.0})
+    measures = [c for c in days.columns if c not in place]
+    costs = failures.groupBy(*place).agg(F.count("*").alias("n"), F.sum("maintenance_cost_gbp").alias("cost"))
+    both = days.select(*place, F.struct(*measures).alias("_day")).unionByName(costs, allowMissingColumns=True)
+    per_place = both.groupBy(*place).agg(F.collect_list("_day").alias("_days"), F.max("n").alias("n"), F.max("cost").alias("cost"))  # a row per model
+    return per_place.select(
+        *place,
+        F.explode("_days").alias("_day"),
+        F.coalesce("n", F.lit(0)).alias("failure_event_count"),
+        F.coalesce(two(F.col("cost")), F.lit(0.0)).alias("failure_related_cost_gbp"),
+    ).select(*place, "_day.*", "failure_event_count", "failure_related_cost_gbp")

@@ -129,7 +129,7 @@ def build_star(uptime: DataFrame, failures: DataFrame) -> Star:
     seen = observations(uptime, failures)
     machines = machine_versions(seen)
     minutes = ("running_minutes", "idle_minutes", "maintenance_minutes", "downtime_minutes", "observed_minutes")
-    percent = {"idle_pct": "idle_minutes", "downtime_pct": "downtime_minutes", "maintenance_pct": "maintenance_minutes"}
+    percent = {"idle_pct": "idle_minutes", "maintenance_pct": "maintenance_minutes"}
     daily = _with_version(uptime, machines).select(
         _hash("event_date", "machine_id", *PLACE).alias("uptime_fact_key"),
         "event_date",
@@ -139,6 +139,7 @@ def build_star(uptime: DataFrame, failures: DataFrame) -> Star:
         *[share(F.col(c), F.col("observed_minutes")).alias(n) for n, c in percent.items()],
         "avg_health_score",
         "downtime_load_pct",
+        F.col("downtime_load_pct").alias("downtime_pct"),
         "downtime_exceeds_observed",
         "downtime_semantics_version",
     )
@@ -261,3 +262,78 @@ def measure_differences(star: Star, uptime: DataFrame, failures: DataFrame) -> D
         one = both.agg(*[F.count_if(alone | ~F.col(f"_f.{m}").eqNullSafe(F.col(f"_s.{m}"))).alias(m) for m in measures])
         parts.append(one.unpivot([], list(measures), "measure", "observed_count").withColumn("dataset", F.lit(fact)))
     return parts[0].unionByName(parts[1])
+
+
+def assignment_findings(uptime: DataFrame, failures: DataFrame) -> DataFrame:
+    """finding, dataset, observed_count of what the policy on assignments blocks: machine-days with several sets of attributes, and machine-days that lack one. No unknown member stands in for it."""
+    days = unsettled_days(observations(uptime, failures))
+    one = days.agg(F.count_if(F.col("attribute_sets") > 1).alias("same_day_assignment_conflict"), F.count_if("lacks_attribute").alias("missing_assignment_identity"))
+    found = one.unpivot([], one.columns, "finding", "observed_count").where("observed_count > 0")
+    return found.select("finding", F.lit("machine_assignment").alias("dataset"), "observed_count")
+
+
+def require_settled(uptime: DataFrame, failures: DataFrame) -> None:
+    """Raises where the marts can't make a star under the policy on assignments: no uptime rows, or machine-days that aren't settled."""
+    if uptime.isEmpty():
+        raise ValueError("the uptime mart has no rows")
+    if found := {r.finding: r.observed_count for r in assignment_findings(uptime, failures).collect()}:
+        raise ValueError(f"assignments aren't settled: {found}")
+
+
+def publication_findings(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
+    """finding, dataset, detail, observed_count of all audits that stand before a publication: counts, grains and keys, identities, and measures. Counts of 0 aren't listed."""
+    identities = identity_differences(star, uptime, failures).withColumn("detail", F.lit(""))
+    measures = measure_differences(star, uptime, failures).withColumn("finding", F.lit("fact_measure_mismatch")).withColumnRenamed("measure", "detail")
+    names = ("finding", "dataset", "detail", "observed_count")
+    out = audit(star, uptime, failures).select(*names)
+    for part in (identities, measures):
+        out = out.unionByName(part.select(*names))
+    return out.where("observed_count > 0")
+
+
+#: The order of a contract's findings.
+CONTRACT_ORDER = (
+    "machine_assignment_conflict", "missing_grain_key", "null_grain_key", "duplicate_uptime_grain", "duplicate_failure_grain",
+    "missing_dimension_key", "null_dimension_key", "unmatched_dimension_key", "source_fact_count_mismatch",
+)
+
+
+def row_contract(star: Star, uptime: DataFrame, failures: DataFrame) -> DataFrame:
+    """code, dataset, keys, detail: each violation of the star's row contract with the row or grain that it is about.
+
+    keys is text, `name=value` by name, with values as they are. A column that a fact lacks is one finding without keys.
+    Members are missing where a dimension has none. Rows come unsorted; CONTRACT_ORDER has the order of codes.
+    """
+
+    def keys(*names: str) -> Column:
+        return F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("null"))) for n in sorted(names)])
+
+    def finding(df: DataFrame, code: str, dataset: str, where: Column, detail: Column) -> DataFrame:
+        return df.select(F.lit(code).alias("code"), F.lit(dataset).alias("dataset"), where.alias("keys"), detail.cast("string").alias("detail"))
+
+    conflicts = unsettled_days(observations(uptime, failures)).where("attribute_sets > 1")
+    parts = [finding(conflicts, "machine_assignment_conflict", "machine_assignment", keys("event_date", "machine_id"), F.col("attribute_sets"))]
+    for fact, source, grain, repeated in (
+        ("fact_machine_uptime_daily", uptime, ("date_key", "machine_key"), "duplicate_uptime_grain"),
+        ("fact_machine_failure_event", failures, ("event_id",), "duplicate_failure_grain"),
+    ):
+        rows = getattr(star, fact)
+        wanted = [k for k in FOREIGN if k != "fault_key" or fact == "fact_machine_failure_event"]
+        nothing = rows.sparkSession.range(1)
+        there = [g for g in grain if g in rows.columns]
+        parts += [finding(nothing, "missing_grain_key", fact, F.lit(""), F.lit(g)) for g in grain if g not in rows.columns]
+        parts += [finding(nothing, "missing_dimension_key", fact, F.lit(""), F.lit(k)) for k in wanted if k not in rows.columns]
+        parts += [finding(rows.where(F.col(g).isNull()), "null_grain_key", fact, keys(*there), F.lit(g)) for g in there]
+        if len(there) == len(grain):
+            parts.append(finding(rows.groupBy(*grain).count().where("count > 1"), repeated, fact, keys(*grain), F.col("count")))
+        for k in (k for k in wanted if k in rows.columns):
+            parts.append(finding(rows.where(F.col(k).isNull()), "null_dimension_key", fact, keys(*there), F.lit(k)))
+            members = getattr(star, FOREIGN[k][0]).select(F.col(k).alias("_k"))
+            lost = rows.where(F.col(k).isNotNull()).join(members, F.col(k) == F.col("_k"), "left_anti")
+            parts.append(finding(lost, "unmatched_dimension_key", fact, keys(*there), F.lit(k)))
+        counts = rows.agg(F.count("*").alias("have")).crossJoin(F.broadcast(source.agg(F.count("*").alias("want")))).where("have <> want")  # one row each
+        parts.append(finding(counts, "source_fact_count_mismatch", fact, F.lit(""), F.concat_ws("<>", "want", "have")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.operators import checks, conformance, forecast, history, medallion, star
-from quarrylake.plans import reports
+from quarrylake.operators import checks, conformance, downtime, forecast, history, marts, medallion, star
+from quarrylake.plans import operations, reports
 from quarrylake.plans.frames import Frames
 from quarrylake.sources.landing import ingestion_coverage
 
@@ -49,15 +50,34 @@ TABLES: dict[str, Callable[[Frames], DataFrame]] = {
 FORECAST = (forecast.Config(28, 7, 14, 60.0, 60.0), "run-1", "2026-04-01T00:00:00Z")
 
 
+#: The present time in the registered queries, so that they can be repeated.
+NOW = datetime(2026, 5, 1, tzinfo=UTC)
+
+
 def _quality(f: Frames) -> DataFrame:
-    tables = {
-        "silver": f.silver,
-        "quarantine": medallion.quarantine(f.bronze),
-        "fact_machine_uptime_daily": f.star.fact_machine_uptime_daily,
-        "fact_machine_failure_event": f.star.fact_machine_failure_event,
-    }
     uptime, failures = f.staged
-    return checks.quality(tables, {"fact_machine_uptime_daily": uptime, "fact_machine_failure_event": failures})
+    silver, s = f.staged_silver, f.star
+    marts_of = {
+        "gold_machine_uptime": uptime,
+        "gold_failure_events": failures,
+        "gold_maintenance_costs": marts.maintenance_costs(silver),
+        "gold_parts_usage": marts.parts_usage(silver),
+        "gold_client_asset_summary": marts.asset_summary(uptime, failures),
+    }
+    tables = {"bronze": f.bronze, "silver": silver, "quarantine": medallion.quarantine(f.bronze), **marts_of, **{n: getattr(s, n) for n in checks.TABLES if n.startswith(("dim_", "fact_"))}}
+    return checks.quality({n: tables[n] for n in checks.TABLES}, {"fact_machine_uptime_daily": uptime, "fact_machine_failure_event": failures})
+
+
+def _expected(f: Frames) -> dict[str, DataFrame]:
+    return {"silver": f.silver, "uptime": f.uptime, "forecast": forecast.forecast(f.daily, *FORECAST), "manifest": f.manifest}
+
+
+def _expectations(f: Frames) -> DataFrame:
+    parts = [checks.evaluate(df, n, checks.EXPECTATIONS[n]) for n, df in _expected(f).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 TABLES |= {
@@ -72,8 +92,27 @@ TABLES |= {
     "expectations_silver": lambda f: checks.evaluate(f.silver, "silver", checks.EXPECTATIONS["silver"]),
     "expectations_uptime": lambda f: checks.evaluate(f.uptime, "uptime", checks.EXPECTATIONS["uptime"]),
     "expectations_forecast": lambda f: checks.evaluate(forecast.forecast(f.daily, *FORECAST), "forecast", checks.EXPECTATIONS["forecast"]),
+    "expectations_manifest": lambda f: checks.evaluate(f.manifest, "manifest", checks.EXPECTATIONS["manifest"]),
     "quality_results": _quality,
     "quality_summary": lambda f: checks.summary(_quality(f)),
+    "assignment_findings": lambda f: history.evidence_findings(f.assignments),
+    "assignment_rejected": lambda f: history.rejected_evidence(f.assignments),
+    "star_assignment_findings": lambda f: star.assignment_findings(*f.staged),
+    "star_publication_findings": lambda f: star.publication_findings(f.star, *f.staged),
+    "star_row_contract": lambda f: star.row_contract(f.star, *f.staged),
+    "audit_downtime_semantics": lambda f: downtime.semantic_findings(f.uptime),
+    "audit_downtime_materialised": lambda f: downtime.materialised_findings(f.uptime),
+    "audit_downtime_star": lambda f: downtime.star_findings(f.star, f.staged[0]),
+    "ops_quality_run_history": lambda f: operations.quality_run_history(f.quality_history),
+    "ops_latest_quality_run": lambda f: operations.latest_quality_run(f.quality_history, NOW),
+    "ops_publication_attempts": lambda f: operations.publication_attempts(f.manifest, NOW),
+    "ops_recent_publications": lambda f: operations.recent_publications(f.manifest),
+    "ops_alert_candidates": lambda f: operations.alert_candidates(f.quality_history, f.manifest, f.bronze, NOW),
+    "ops_expectation_events": lambda f: operations.expectation_events(_expectations(f), NOW),
+    "ops_expectation_row_counts": lambda f: operations.expectation_row_counts(_expected(f)),
+    "report_quality_monitoring": lambda f: operations.quality_monitoring(f.quality_history, operations.landing_checks(f.bronze)),
+    "report_downtime_forecast": lambda f: operations.downtime_forecast(forecast.forecast(f.daily, *FORECAST)),
+    "report_forecast_backtest": lambda f: operations.forecast_backtest(forecast.validation(f.daily, *FORECAST)),
 }
 
 

@@ -184,7 +184,7 @@ SQL = {
     "dim_fault": f"with {_STAR_OBS} select distinct fault_code, severity, severity_rank from failure_facts",
     "dim_site": f"with {_STAR_OBS} select distinct site_id, client_id from seen_days",
     "fact_uptime_natural": f"""with {_STAR_OBS} select event_date, client_id, site_id, machine_id, model, run as running_minutes, idle as idle_minutes, maint as maintenance_minutes, down as downtime_minutes,
-      seen as observed_minutes, uptime_pct, {share("idle", "seen")} as idle_pct, {share("down", "seen")} as downtime_pct, {share("maint", "seen")} as maintenance_pct from uptime""",
+      seen as observed_minutes, uptime_pct, {share("idle", "seen")} as idle_pct, load_pct as downtime_pct, {share("maint", "seen")} as maintenance_pct from uptime""",
     "fact_failure_natural": f"""with {_STAR_OBS} select event_id, event_date, {_TS.format(c="event_ts_utc")} as event_ts_utc, client_id, site_id, machine_id, model, fault_code, severity, severity_rank,
       downtime_minutes, maintenance_cost_gbp, part_code, part_quantity from failure_facts""",
     "star_unsettled_machines": f"with {_STAR_OBS} select distinct machine_id from unsettled",

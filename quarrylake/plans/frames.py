@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.operators import forecast, marts, medallion, star
 from quarrylake.functions.staging import stage
+from quarrylake.plans import operations
 
 
 class Frames:
@@ -46,11 +47,15 @@ class Frames:
     def summary(self) -> DataFrame:
         return marts.asset_summary(self.uptime, self.failures)
 
+    @cached_property
+    def staged_silver(self) -> DataFrame:
+        """Trusted events, computed once: both marts and the quality checks read them."""
+        return stage(self.silver)
+
     @cached_property
     def staged(self) -> tuple[DataFrame, DataFrame]:
         """The uptime and failure marts, computed once: the star reads them many times."""
-        silver = stage(self.silver)
-        return stage(marts.machine_uptime(silver)), stage(marts.failure_events(silver))
+        return stage(marts.machine_uptime(self.staged_silver)), stage(marts.failure_events(self.staged_silver))
 
     @cached_property
     def star(self) -> star.Star:
@@ -59,3 +64,11 @@ class Frames:
     @cached_property
     def daily(self) -> DataFrame:
         return forecast.daily_actuals(self.uptime)
+
+    @cached_property
+    def quality_history(self) -> DataFrame:
+        return operations.run_history(operations.landing_checks(self.bronze))
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        return operations.landing_manifest(self.bronze)

@@ -125,6 +125,31 @@ judged as (
 select record_id, reason from judged where reason is not null
 """
 
+_COLUMNS = (
+    "event_id", "machine_id", "event_ts", "site_id", "client_id", "model", "hour_meter", "event_type", "status", "fault_code", "severity", "temperature_c", "vibration_mm_s", "fuel_level_pct",
+    "duration_minutes", "downtime_minutes", "maintenance_cost_gbp", "part_code", "part_quantity", "operator_shift",
+)
+
+
+def _typed(get) -> str:
+    text = lambda c: f"nullif(trim({c}, ' '), '')"
+    instant = lambda c: f"strftime(make_timestamp({_epoch(c)} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+    read = {c: instant(get(c)) if c == "event_ts" else f"{_num(get(c))} + 0.0" if c in _NUMBERS else text(get(c)) for c in _COLUMNS}
+    unread = ", ".join(f"case when {text(get(c))} is not null and {_num(get(c))} is null then '{c}' end" for c in _COLUMNS if c in _NUMBERS)
+    return ", ".join(f"{x} as {c}" for c, x in read.items()) + f", nullif(concat_ws(',', {unread}), '') as unread_columns"
+
+
+P6_LOADED = f"""
+with split as (
+  select record_id, regexp_full_match(raw_line, '(?s){_QUOTING}') and regexp_full_match(raw_line, '(?s){_COUNT}') as whole,
+         [case when f[1:1] = '"' then replace(f[2:-2], '""', '"') else f end for f in {_FIELDS}] as f
+  from landed_lines
+)
+select record_id, {_typed(lambda c: f"f[{_COLUMNS.index(c) + 1}]")} from split where whole and {_reads("f[3]", "f[7]", "f[12]")} is null
+union all
+select record_id, {_typed(lambda c: c)} from sample_machine_events where {_reads("event_ts", "hour_meter", "temperature_c")} is null
+"""
+
 _ROLLING = f"""
 with {TRUSTED},
 daily as (select machine_id, cast(floor(epoch_s / 86400) as bigint) as d, sum(downtime_minutes) as m from trusted group by all),
@@ -143,4 +168,4 @@ P7_TOTALS = (
 cast(t30 as double) as total_30d, cast(t7 as double) / 7 as avg_7d, cast(t30 as double) / 30 as avg_30d from totals"""
 )
 
-SQL = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p7_totals": P7_TOTALS}
+SQL = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_loaded": P6_LOADED, "p7_found": P7, "p7_totals": P7_TOTALS}

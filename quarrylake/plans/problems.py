@@ -56,7 +56,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return malformed.loaded(_table(spark, sf_dir, "landed_lines"), _table(spark, sf_dir, "sample_machine_events"))
+    events = malformed.loaded(_table(spark, sf_dir, "landed_lines"), _table(spark, sf_dir, "sample_machine_events"))
+    return events.withColumn("event_ts", F.date_format(F.to_utc_timestamp("event_ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
