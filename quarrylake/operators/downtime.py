@@ -89,13 +89,13 @@ def materialise_or_validate(df: DataFrame, label: str) -> DataFrame:
 
 def governed_marts(silver: DataFrame) -> dict[str, DataFrame]:
     """The marts of trusted events, the uptime mart held to the rule."""
-    uptime, failures = materialise_or_validate(marts.machine_uptime(silver), "machine_uptime"), marts.failure_events(silver)
+    days = materialise_or_validate(marts.machine_days(silver), "machine_uptime")
     return {
-        "machine_uptime": uptime,
-        "failure_events": failures,
+        "machine_uptime": days.drop(*marts.OF_FAILURES),
+        "failure_events": marts.failure_events(silver),
         "maintenance_costs": marts.maintenance_costs(silver),
         "parts_usage": marts.parts_usage(silver),
-        "client_asset_summary": marts.asset_summary(uptime, failures),
+        "client_asset_summary": marts.asset_summary(days),
     }
 
 

@@ -68,24 +68,21 @@ def _known() -> Column:
     return known
 
 
-def validation(daily: DataFrame, config: Config, run_id: str, generated_at: str) -> DataFrame:
-    """One row per segment and day that has an earlier observed day within the window: forecast, errors and interval.
+def _scored(daily: DataFrame, config: Config) -> DataFrame:
+    """daily with each day's forecast from the observed days before it within the window, and its errors and interval; NULL on days without history.
 
-    Segments with a missing key have errors, but no interval padding.
+    Everything comes from windows over one partitioning by segment. Segments with a missing key have errors, but no padding.
     """
-    check_run(run_id, generated_at)
     past = W.partitionBy(*SEGMENT).orderBy(F.unix_date("event_date")).rangeBetween(-config.window_days, -1)
     whole = W.partitionBy(*SEGMENT)
     actual, guess = F.col("actual_downtime_minutes"), F.col("forecast_downtime_minutes")
     rows = daily.select(
-        "event_date",
-        *SEGMENT,
-        "machine_count",
-        "actual_downtime_minutes",
+        "*",
         two(F.avg("actual_downtime_minutes").over(past)).alias("forecast_downtime_minutes"),
         F.count("actual_downtime_minutes").over(past).alias("history_day_count"),
         F.min("event_date").over(past).alias("history_start_date"),
-    ).where("history_day_count > 0")
+        F.max("event_date").over(whole).alias("latest_actual_date"),
+    )
     rows = rows.withColumns(
         {
             "history_calendar_span_days": F.datediff("event_date", "history_start_date"),
@@ -99,50 +96,67 @@ def validation(daily: DataFrame, config: Config, run_id: str, generated_at: str)
     rows = rows.withColumn("_pad", F.when(_known(), F.coalesce(deviation, mae)).otherwise(F.lit(0.0)))
     rows = rows.withColumns(
         {
-            "validation_interval_lower_minutes": F.greatest(F.lit(0.0), two(guess - F.col("_pad"))),
+            "validation_interval_lower_minutes": F.when(guess.isNotNull(), F.greatest(F.lit(0.0), two(guess - F.col("_pad")))),
             "validation_interval_upper_minutes": two(guess + F.col("_pad")),
         }
     )
+    covered = actual.between(F.col("validation_interval_lower_minutes"), F.col("validation_interval_upper_minutes"))
+    return rows.withColumn("covered_by_validation_interval", covered).drop("_pad")
+
+
+def validation(daily: DataFrame, config: Config, run_id: str, generated_at: str) -> DataFrame:
+    """One row per segment and day that has an earlier observed day within the window: forecast, errors and interval.
+
+    Segments with a missing key have errors, but no interval padding.
+    """
+    check_run(run_id, generated_at)
+    rows = _scored(daily, config).where("history_day_count > 0").drop("avg_uptime_pct", "avg_health_score", "latest_actual_date")
     return rows.withColumns(
         {
-            "covered_by_validation_interval": actual.between(F.col("validation_interval_lower_minutes"), F.col("validation_interval_upper_minutes")),
             "forecast_run_id": F.lit(run_id),
             "validation_generated_at": F.lit(generated_at).cast("timestamp"),
             "model_name": F.lit(MODEL),
             "window_semantics": F.lit(SEMANTICS),
             "baseline_window_days": F.lit(config.window_days),
         }
-    ).drop("_pad")
+    )
 
 
-def metrics(validated: DataFrame) -> DataFrame:
-    """Errors and interval coverage of each segment's backtest."""
-    return validated.groupBy(*SEGMENT).agg(
-        F.count("*").alias("validation_observation_count"),
+def _metrics() -> list[Column]:
+    """Errors and interval coverage of a segment's backtest, over its days with history: on the others all of these are NULL."""
+    return [
+        F.count_if(F.col("history_day_count") > 0).alias("validation_observation_count"),
         two(F.avg("absolute_error_minutes")).alias("mae_downtime_minutes"),
         two(F.sqrt(F.avg("squared_error_minutes"))).alias("rmse_downtime_minutes"),
         two(F.avg("absolute_percentage_error") * 100).alias("mape_pct"),
         two(F.stddev_samp("residual_minutes")).alias("residual_stddev_minutes"),
-        F.max("event_date").alias("latest_validation_date"),
-        two(F.avg(F.when(F.col("covered_by_validation_interval"), 1.0).otherwise(0.0)) * 100).alias("backtest_interval_coverage_pct"),
-    )
+        F.max(F.when(F.col("history_day_count") > 0, F.col("event_date"))).alias("latest_validation_date"),
+        two(F.avg(F.when(F.col("history_day_count") > 0, F.col("covered_by_validation_interval").cast("double"))) * 100).alias("backtest_interval_coverage_pct"),
+    ]
+
+
+def metrics(validated: DataFrame) -> DataFrame:
+    """Errors and interval coverage of each segment's backtest."""
+    return validated.groupBy(*SEGMENT).agg(*_metrics())
 
 
 def forecast(daily: DataFrame, config: Config, run_id: str, generated_at: str) -> DataFrame:
-    """One row per segment with all keys: the forecast horizon_days after its latest observed day, its interval, and how ready it is."""
-    whole = W.partitionBy(*SEGMENT)
-    recent = daily.where(_known()).withColumn("latest_actual_date", F.max("event_date").over(whole))
-    recent = recent.where(F.col("event_date") > F.date_sub("latest_actual_date", config.window_days))
-    now = recent.groupBy(*SEGMENT, "latest_actual_date").agg(
-        F.min("event_date").alias("forecast_history_start_date"),
-        F.count("*").alias("forecast_history_day_count"),
-        two(F.avg("actual_downtime_minutes")).alias("forecast_downtime_minutes"),
-        two(F.avg("avg_uptime_pct")).alias("recent_avg_uptime_pct"),
-        two(F.avg("avg_health_score")).alias("recent_avg_health_score"),
-        F.max("machine_count").alias("machine_count"),
+    """One row per segment with all keys: the forecast horizon_days after its latest observed day, its interval, and how ready it is.
+
+    Recent days and the backtest of all days are aggregated from one pass.
+    """
+    check_run(run_id, generated_at)
+    recent = F.col("event_date") > F.date_sub("latest_actual_date", config.window_days)
+    late = lambda c: F.when(recent, F.col(c))
+    rows = _scored(daily.where(_known()), config).groupBy(*SEGMENT, "latest_actual_date").agg(
+        F.min(late("event_date")).alias("forecast_history_start_date"),
+        F.count_if(recent).alias("forecast_history_day_count"),
+        two(F.avg(late("actual_downtime_minutes"))).alias("forecast_downtime_minutes"),
+        two(F.avg(late("avg_uptime_pct"))).alias("recent_avg_uptime_pct"),
+        two(F.avg(late("avg_health_score"))).alias("recent_avg_health_score"),
+        F.max(late("machine_count")).alias("machine_count"),
+        *_metrics(),
     )
-    rows = now.join(metrics(validation(daily, config, run_id, generated_at)), list(SEGMENT), "left")
-    rows = rows.withColumn("validation_observation_count", F.coalesce("validation_observation_count", F.lit(0)))
     set_up = config.max_mae is not None
     limit, floor = F.lit(config.max_mae).cast("double"), F.lit(config.min_coverage).cast("double")
     met = lambda when: F.coalesce(when, F.lit(False)) if set_up else F.lit(False)

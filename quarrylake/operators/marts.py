@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed value: the version of the rule that relates downtime to observation.
@@ -55,18 +56,40 @@ def with_downtime_semantics(df: DataFrame) -> DataFrame:
     )
 
 
-def machine_uptime(silver: DataFrame) -> DataFrame:
-    """Minutes by status, downtime, observation, health and uptime of each machine's day. A status' minutes are NULL where all its durations are."""
+#: The columns of trusted events from which all marts are made.
+SOURCE = (
+    "event_id", "event_date", "event_ts_utc", "site_id", "client_id", "machine_id", "model", "status", "fault_code", "severity", "temperature_c", "vibration_mm_s", "fuel_level_pct",
+    "duration_minutes", "downtime_minutes", "maintenance_cost_gbp", "part_code", "part_quantity",
+)
+#: What a machine's day has of its failures, beside the uptime mart.
+OF_FAILURES = ("failure_event_count", "failure_downtime_minutes", "failure_cost_gbp", "latest_failure_at_utc")
+
+
+def machine_days(silver: DataFrame) -> DataFrame:
+    """Minutes by status, downtime, observation, health and uptime of each machine's day, and what of it are failures.
+
+    A status' minutes are NULL where all its durations are. Reports on both days and failures read this one aggregation.
+    """
     in_status = lambda s: F.sum(F.when(F.col("status") == s, F.col("duration_minutes")).otherwise(0))
+    failed = F.col("is_failure_event")
     daily = silver.groupBy(*DAILY).agg(
         *[in_status(s).alias(name) for s, name in STATUS_MINUTES.items()],
         F.sum(F.coalesce("downtime_minutes", F.lit(0))).alias("downtime_minutes"),
         F.sum(F.coalesce("duration_minutes", F.lit(0))).alias("observed_minutes"),
         F.avg("health_score").alias("avg_health_score"),
+        F.count_if(failed).alias("failure_event_count"),
+        F.sum(F.when(failed, F.coalesce("downtime_minutes", F.lit(0))).otherwise(0)).alias("failure_downtime_minutes"),
+        F.sum(F.when(failed, F.col("maintenance_cost_gbp")).otherwise(0.0)).alias("failure_cost_gbp"),
+        F.max(F.when(failed, F.col("event_ts_utc"))).alias("latest_failure_at_utc"),
     )
     return with_downtime_semantics(daily.withColumn("uptime_pct", share(F.col("running_minutes"), F.col("observed_minutes"))))
 
 
+def machine_uptime(silver: DataFrame) -> DataFrame:
+    """machine_days without failures."""
+    return machine_days(silver).drop(*OF_FAILURES)
+
+
 def failure_events(silver: DataFrame) -> DataFrame:
     return silver.where("is_failure_event").select(*FAILURE_COLUMNS)
 
@@ -94,24 +117,16 @@ def parts_usage(silver: DataFrame) -> DataFrame:
     )
 
 
-def asset_summary(uptime: DataFrame, failures: DataFrame) -> DataFrame:
-    """Each machine at a client's site. Failures are those of the machine there under any model, so two models repeat them.
-
-    Days and failures meet in one aggregation by place: no join, and a place without observed days has no row.
-    """
+def asset_summary(days: DataFrame) -> DataFrame:
+    """Each machine at a client's site, out of machine_days. Failures are those of the machine there under any model, so two models repeat them."""
     place = ("client_id", "site_id", "machine_id")
-    days = uptime.groupBy(*place, "model").agg(
+    models = days.groupBy(*place, "model").agg(
         two(F.avg("uptime_pct")).alias("avg_uptime_pct"),
         two(F.avg("avg_health_score")).alias("avg_health_score"),
         F.sum("downtime_minutes").alias("total_downtime_minutes"),
+        F.sum("failure_event_count").alias("n"),
+        F.sum("failure_cost_gbp").alias("cost"),
     )
-    measures = [c for c in days.columns if c not in place]
-    costs = failures.groupBy(*place).agg(F.count("*").alias("n"), F.sum("maintenance_cost_gbp").alias("cost"))
-    both = days.select(*place, F.struct(*measures).alias("_day")).unionByName(costs, allowMissingColumns=True)
-    per_place = both.groupBy(*place).agg(F.collect_list("_day").alias("_days"), F.max("n").alias("n"), F.max("cost").alias("cost"))  # a row per model
-    return per_place.select(
-        *place,
-        F.explode("_days").alias("_day"),
-        F.coalesce("n", F.lit(0)).alias("failure_event_count"),
-        F.coalesce(two(F.col("cost")), F.lit(0.0)).alias("failure_related_cost_gbp"),
-    ).select(*place, "_day.*", "failure_event_count", "failure_related_cost_gbp")
+    under_any = W.partitionBy(*place)  # a row per model
+    both = {"failure_event_count": F.sum("n").over(under_any), "failure_related_cost_gbp": two(F.sum("cost").over(under_any))}
+    return models.withColumns(both).drop("n", "cost")

@@ -36,8 +36,14 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
 
 
+def payload_hashes() -> list[Column]:
+    """128 bits over the landed columns as they are, NULL apart from any text: what tells differing payloads without their text."""
+    parts = [c for n in EVENT_COLUMNS for c in (F.col(n), F.col(n).isNull())]
+    return [F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("_h2")]
+
+
 def typed(bronze: DataFrame) -> DataFrame:
-    """Landed records with typed columns, event_ts_utc, event_date, event_payload_sha256 and is_valid. Text that doesn't read becomes NULL."""
+    """Landed records with typed columns, event_ts_utc, event_date, event_payload_sha256, is_valid, and hashes of the payload. Text that doesn't read becomes NULL."""
     require_columns(bronze, {*EVENT_COLUMNS, "_ingested_at", "_source_file"}, "bronze")
     second = epoch_of(F.col("event_ts"))
     changed = {
@@ -53,6 +59,7 @@ def typed(bronze: DataFrame) -> DataFrame:
         F.sha2(payload(), 256).alias("event_payload_sha256"),
         F.timestamp_seconds(second).alias("event_ts_utc"),
         day_of(second).alias("event_date"),
+        *payload_hashes(),
     )
     valid = F.lit(True)
     for c in REQUIRED:
@@ -60,6 +67,9 @@ def typed(bronze: DataFrame) -> DataFrame:
     return rows.withColumn("is_valid", valid)
 
 
+_DIFFER = "min(_h1) <> max(_h1) or min(_h2) <> max(_h2)"
+
+
 def enrich(events: DataFrame) -> DataFrame:
     """is_failure_event, health_score and defaults. A missing reading costs no health."""
     lost = lambda when, points: F.when(when, points).otherwise(0)
@@ -80,20 +90,23 @@ def enrich(events: DataFrame) -> DataFrame:
     )
 
 
-def _by_event(rows: DataFrame) -> DataFrame:
-    """Per event_id: whether payloads differ among all its records, valid or not, and its newest valid record. Combined before the shuffle."""
-    record = F.struct(*[c for c in rows.columns if c != "is_valid"])
+def _by_event(rows: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Per event_id: whether payloads differ among all its records, valid or not, and its newest valid record, or the asked columns of it. Combined before the shuffle."""
+    record = F.struct(*[c for c in columns or rows.columns if c not in ("is_valid", "_h1", "_h2")])
     newest = F.when(F.col("is_valid"), F.struct("_ingested_at", "_source_file"))
     return (
         rows.where(~blank(F.col("event_id")))
         .groupBy("event_id")
-        .agg((F.min("event_payload_sha256") != F.max("event_payload_sha256")).alias("is_conflicting_event_id"), F.max_by(record, newest).alias("_newest"))
+        .agg(F.expr(_DIFFER).alias("is_conflicting_event_id"), F.max_by(record, newest).alias("_newest"))
     )
 
 
-def silver(bronze: DataFrame) -> DataFrame:
-    """One enriched row per event_id that has a valid record and no differing payloads: the newest, by _ingested_at, then _source_file."""
-    kept = _by_event(typed(bronze)).where("not is_conflicting_event_id and _newest is not null")
+def silver(bronze: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One enriched row per event_id that has a valid record and no differing payloads: the newest, by _ingested_at, then _source_file.
+
+    With columns only these typed ones (those that enrich needs among them) are carried along.
+    """
+    kept = _by_event(typed(bronze), columns).where("not is_conflicting_event_id and _newest is not null")
     return enrich(kept.select("_newest.*"))
 
 
@@ -103,7 +116,7 @@ def quarantine(bronze: DataFrame) -> DataFrame:
     flags = _by_event(rows).where("is_conflicting_event_id").select("event_id", "is_conflicting_event_id")
     rows = rows.join(flags, "event_id", "left").withColumn("is_conflicting_event_id", F.coalesce("is_conflicting_event_id", F.lit(False)))
     reason = F.when(~F.col("is_valid"), F.lit(INVALID)).when(F.col("is_conflicting_event_id"), F.lit(CONFLICT))
-    return rows.withColumn("quarantine_reason", reason).where("quarantine_reason is not null").drop("is_valid")
+    return rows.withColumn("quarantine_reason", reason).where("quarantine_reason is not null").drop("is_valid", "_h1", "_h2")
 
 
 def reconciliation(bronze: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def reconciliation(bronze: DataFrame) -> DataFrame:
     per_event = (
         typed(bronze)
         .groupBy("event_id")
-        .agg(F.count("*").alias("n"), F.count_if("is_valid").alias("valid"), (F.min("event_payload_sha256") != F.max("event_payload_sha256")).alias("differ"))
+        .agg(F.count("*").alias("n"), F.count_if("is_valid").alias("valid"), F.expr(_DIFFER).alias("differ"))
         .withColumn("differ", F.col("differ") & ~blank(F.col("event_id")))
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")

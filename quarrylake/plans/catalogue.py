@@ -56,13 +56,13 @@ NOW = datetime(2026, 5, 1, tzinfo=UTC)
 
 def _quality(f: Frames) -> DataFrame:
     uptime, failures = f.staged
-    silver, s = f.staged_silver, f.star
+    silver, s = f.staged_slim, f.star
     marts_of = {
         "gold_machine_uptime": uptime,
         "gold_failure_events": failures,
         "gold_maintenance_costs": marts.maintenance_costs(silver),
         "gold_parts_usage": marts.parts_usage(silver),
-        "gold_client_asset_summary": marts.asset_summary(uptime, failures),
+        "gold_client_asset_summary": marts.asset_summary(marts.machine_days(silver)),
     }
     tables = {"bronze": f.bronze, "silver": silver, "quarantine": medallion.quarantine(f.bronze), **marts_of, **{n: getattr(s, n) for n in checks.TABLES if n.startswith(("dim_", "fact_"))}}
     return checks.quality({n: tables[n] for n in checks.TABLES}, {"fact_machine_uptime_daily": uptime, "fact_machine_failure_event": failures})

@@ -6,8 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylake.operators import forecast, marts, medallion, star
 from quarrylake.functions.staging import stage
+from quarrylake.operators import forecast, marts, medallion, star
 from quarrylake.plans import operations
 
 
@@ -27,35 +27,44 @@ class Frames:
     def silver(self) -> DataFrame:
         return medallion.silver(self.bronze)
 
+    @cached_property
+    def slim(self) -> DataFrame:
+        """Trusted events with the columns that marts are made of."""
+        return medallion.silver(self.bronze, (*marts.SOURCE,))
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return marts.machine_days(self.slim)
+
     @cached_property
     def uptime(self) -> DataFrame:
-        return marts.machine_uptime(self.silver)
+        return marts.machine_uptime(self.slim)
 
     @cached_property
     def failures(self) -> DataFrame:
-        return marts.failure_events(self.silver)
+        return marts.failure_events(self.slim)
 
     @cached_property
     def costs(self) -> DataFrame:
-        return marts.maintenance_costs(self.silver)
+        return marts.maintenance_costs(self.slim)
 
     @cached_property
     def parts(self) -> DataFrame:
-        return marts.parts_usage(self.silver)
+        return marts.parts_usage(self.slim)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return marts.asset_summary(self.uptime, self.failures)
+        return marts.asset_summary(self.days)
 
     @cached_property
-    def staged_silver(self) -> DataFrame:
+    def staged_slim(self) -> DataFrame:
         """Trusted events, computed once: both marts and the quality checks read them."""
-        return stage(self.silver)
+        return stage(self.slim)
 
     @cached_property
     def staged(self) -> tuple[DataFrame, DataFrame]:
         """The uptime and failure marts, computed once: the star reads them many times."""
-        return stage(marts.machine_uptime(self.staged_silver)), stage(marts.failure_events(self.staged_silver))
+        return stage(marts.machine_uptime(self.staged_slim)), stage(marts.failure_events(self.staged_slim))
 
     @cached_property
     def star(self) -> star.Star:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylake.operators.marts import month_of, ratio, share, two, used_parts
+from quarrylake.operators.marts import SEMANTICS, month_of, ratio, share, two, used_parts
 from quarrylake.operators.star import natural
 from quarrylake.plans.frames import Frames
 
@@ -18,10 +18,6 @@ def total(c: str | Column) -> Column:
     return F.sum(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)))
 
 
-def zero(c: str) -> Column:
-    return F.coalesce(c, F.lit(0)).alias(c)
-
-
 def hours(minutes: str) -> Column:
     return two(F.col(minutes) / F.lit(60.0).cast("double"))
 
@@ -92,7 +88,7 @@ def client_asset_summary(f: Frames) -> DataFrame:
 
 
 def machine_reliability_scorecard(f: Frames) -> DataFrame:
-    seen = f.uptime.groupBy(*ASSET).agg(
+    s = f.days.groupBy(*ASSET).agg(
         F.min("event_date").alias("first_observed_date"),
         F.max("event_date").alias("last_observed_date"),
         F.sum("running_minutes").alias("run"),
@@ -100,15 +96,11 @@ def machine_reliability_scorecard(f: Frames) -> DataFrame:
         F.sum("downtime_minutes").alias("attributed_downtime_minutes"),
         two(F.avg("uptime_pct")).alias("avg_uptime_pct"),
         two(F.avg("avg_health_score")).alias("avg_health_score"),
-        F.max("downtime_semantics_version").alias("downtime_semantics_version"),
-    )
-    failed = f.failures.groupBy(*ASSET).agg(
-        F.count("*").alias("failure_event_count"),
-        total("downtime_minutes").alias("lost"),
-        two(total("maintenance_cost_gbp")).alias("failure_related_cost_gbp"),
-        F.max("event_ts_utc").alias("latest_failure_at_utc"),
+        F.sum("failure_event_count").alias("failure_event_count"),
+        F.sum("failure_downtime_minutes").alias("lost"),
+        two(F.sum("failure_cost_gbp")).alias("failure_related_cost_gbp"),
+        F.max("latest_failure_at_utc").alias("latest_failure_at_utc"),
     )
-    s = join_same(seen, failed, ASSET).withColumn("failure_event_count", zero("failure_event_count"))
     n = F.col("failure_event_count")
     return s.select(
         *ASSET,
@@ -123,37 +115,38 @@ def machine_reliability_scorecard(f: Frames) -> DataFrame:
         F.when(F.col("run") > 0, two(n * 6000.0 / F.col("run"))).alias("failures_per_100_operating_hours"),
         ratio(F.col("lost"), n).alias("avg_attributed_downtime_per_failure_minutes"),
         ratio(F.col("failure_related_cost_gbp"), n).alias("avg_failure_related_cost_gbp"),
-        F.coalesce("failure_related_cost_gbp", F.lit(0.0)).alias("failure_related_cost_gbp"),
+        "failure_related_cost_gbp",
         "latest_failure_at_utc",
         status((F.col("run") <= 0, "no_operating_time"), (n == 0, "no_recorded_failures"), otherwise="observed_failures").alias("reliability_observation_status"),
-        "downtime_semantics_version",
+        F.lit(SEMANTICS).alias("downtime_semantics_version"),
     )
 
 
 def _monthly(f: Frames) -> DataFrame:
-    """What was observed and what failed by month, client, site and model; a month has a row if it has either."""
-    month = month_of(F.col("event_date")).alias("event_month")
-    keys = ("event_month", *SEGMENT)
-    seen = f.uptime.groupBy(month, *SEGMENT).agg(
-        F.count_distinct("machine_id").alias("observed_machine_count"),
+    """What was observed and what failed by month, client, site and model. Machines come first, so that none needs a distinct count."""
+    keys = (month_of(F.col("event_date")).alias("event_month"), *SEGMENT)
+    machines = f.days.groupBy(*keys, "machine_id").agg(
         total("running_minutes").alias("run"),
         total("observed_minutes").alias("seen"),
-        total("downtime_minutes").alias("attributed_downtime_minutes"),
-        two(F.avg("avg_health_score")).alias("avg_daily_machine_health_score"),
-        F.max("downtime_semantics_version").alias("downtime_semantics_version"),
-    )
-    failed = f.failures.groupBy(month, *SEGMENT).agg(
-        F.count("*").alias("failure_event_count"),
-        F.count_distinct("machine_id").alias("affected_machine_count"),
-        total("downtime_minutes").alias("failure_attributed_downtime_minutes"),
-        total("maintenance_cost_gbp").alias("cost"),
+        total("downtime_minutes").alias("down"),
+        F.sum("avg_health_score").alias("health"),
+        F.count("avg_health_score").alias("days"),
+        F.sum("failure_event_count").alias("n"),
+        F.sum("failure_downtime_minutes").alias("lost"),
+        F.sum("failure_cost_gbp").alias("cost"),
     )
-    # one aggregation over both instead of a set of keys joined twice
-    both = seen.unionByName(failed, allowMissingColumns=True).groupBy(*keys).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in dict.fromkeys([*seen.columns, *failed.columns]) if c not in keys]
+    return machines.groupBy("event_month", *SEGMENT).agg(
+        F.count("*").alias("observed_machine_count"),
+        F.sum("run").alias("run"),
+        F.sum("seen").alias("seen"),
+        F.sum("down").alias("attributed_downtime_minutes"),
+        two(F.sum("health") / F.sum("days")).alias("avg_daily_machine_health_score"),
+        F.first(F.lit(SEMANTICS)).alias("downtime_semantics_version"),
+        F.sum("n").alias("failure_event_count"),
+        F.count_if(F.col("n") > 0).alias("affected_machine_count"),
+        F.sum("lost").alias("failure_attributed_downtime_minutes"),
+        F.sum("cost").alias("cost"),
     )
-    counts = ("observed_machine_count", "run", "seen", "attributed_downtime_minutes", "failure_event_count", "affected_machine_count", "failure_attributed_downtime_minutes")
-    return both.withColumns({c: zero(c) for c in counts}).withColumn("cost", F.coalesce("cost", F.lit(0.0)))
 
 
 def monthly_reliability_trends(f: Frames) -> DataFrame:
