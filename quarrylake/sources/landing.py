@@ -67,8 +67,85 @@ def plan(sources: list[str], replay_id: str | None = None, max_files: int = 20,
     entries.sort(key=lambda e: e["name"])
     if len(entries) > max_files or sum(e["bytes"] for e in entries) > max_total or len({e["name"] for e in entries}) < len(entries):
         raise ValueError("too many files, too many bytes, or one content twice")
-    identity = json.dumps([[e["name"], e["bytes"]] for e in entries], separators=(",", ":"))
-    return {"plan_id": hashlib.sha256(identity.encode()).hexdigest(), "files": entries}
+    return {"plan_id": plan_id(entries, replay_id), "replay_id": replay_id, "files": entries}
+
+
+def plan_id(entries: list[dict], replay_id: str | None) -> str:
+    """An id that equal plans share: it signs names, sizes and the replay, not where the sources lie."""
+    signed = {"replay_id": replay_id, "files": [[e["name"], e["bytes"]] for e in entries]}
+    return hashlib.sha256(json.dumps(signed, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def check_plan(planned: dict) -> dict:
+    """planned, if it has the shape of a plan and its id and names are what its entries give. Raises otherwise, and where a source's content is no longer the planned one."""
+    if not isinstance(planned, dict) or set(planned) != {"plan_id", "replay_id", "files"} or not isinstance(planned["files"], list):
+        raise ValueError("no upload plan")
+    for e in planned["files"]:
+        if not isinstance(e, dict) or set(e) != {"source", "name", "bytes"} or type(e["bytes"]) is not int or not (named := parse_name(e["name"])):
+            raise ValueError("an entry of the plan has another shape")
+        if named.replay_id != planned["replay_id"]:
+            raise ValueError(f"{e['name']} belongs to another replay")
+        with open(e["source"], "rb") as f:
+            if object_name(f.read(e["bytes"] + 1), planned["replay_id"]) != e["name"]:
+                raise ValueError(f"{e['source']} has changed since it was planned")
+    if planned["plan_id"] != plan_id(planned["files"], planned["replay_id"]):
+        raise ValueError("the plan's id isn't that of its entries")
+    return planned
+
+
+def write_plan(planned: dict, path: str, max_bytes: int = 1 << 20) -> None:
+    """Writes a plan beside its place and puts it there in one step."""
+    text = json.dumps(planned, sort_keys=True, indent=2) + "\n"
+    if len(text.encode()) > max_bytes:
+        raise ValueError("the plan is too large")
+    draft = os.path.join(os.path.dirname(os.path.abspath(path)), f".{os.path.basename(path)}.draft")
+    with open(draft, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(draft, path)
+
+
+def load_plan(path: str, max_bytes: int = 1 << 20) -> dict:
+    """The checked plan at path; raises where it is a link, no regular file, too large, or doesn't parse."""
+    if os.path.islink(path) or not os.path.isfile(path) or not 0 < os.path.getsize(path) <= max_bytes:
+        raise ValueError(f"{path} is no plan")
+    with open(path, encoding="utf-8") as f:
+        return check_plan(json.load(f))
+
+
+def preflight(spark: SparkSession, folder: str, max_entries: int = 1000, max_depth: int = 8) -> int:
+    """The number of landing files under folder, on any file system. Raises beyond the bounds, on names that aren't a landing file's, and where there are none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    pending, seen, files, odd = [(root, 0)], 0, 0, 0
+    while pending:
+        at, depth = pending.pop()
+        if depth > max_depth:
+            raise ValueError(f"{folder} is nested deeper than {max_depth}")
+        found = fs.listStatusIterator(at)
+        while found.hasNext():
+            entry = found.next()
+            if (seen := seen + 1) > max_entries:
+                raise ValueError(f"{folder} has more than {max_entries} entries")
+            if entry.isDirectory():
+                pending.append((entry.getPath(), depth + 1))
+            else:
+                files += 1
+                odd += parse_name(entry.getPath().getName()) is None
+    if odd or not files:
+        raise ValueError(f"{odd} files of {folder} are no landing files" if odd else f"{folder} has no landing files")
+    return files
+
+
+IDENTITY = ("_source_object_name", "_ingestion_mode", "_replay_id", "_source_content_sha256", "_source_identity_valid")
+
+
+def require_identities(bronze: DataFrame) -> None:
+    """Raises where records that were ingested before lack the identity of their file, or have one that isn't valid. Stops at the first."""
+    lacking = sorted(set(IDENTITY) - set(bronze.columns))
+    if lacking and not bronze.isEmpty():
+        raise ValueError(f"ingested records lack {', '.join(lacking)}")
+    if not lacking and not bronze.where(~F.coalesce("_source_identity_valid", F.lit(False))).isEmpty():
+        raise ValueError("ingested records have a file without a valid identity")
 
 
 def unmanaged(spark: SparkSession, folder: str) -> DataFrame:
