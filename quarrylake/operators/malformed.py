@@ -68,16 +68,20 @@ def split_fields(line: Column) -> Column:
     return F.transform(parts, lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
-def typed_event(get) -> list[Column]:
-    """The event's columns in their declared kinds, and unread_columns; get gives a landed column by name.
+def typed_events(rows: DataFrame, get) -> DataFrame:
+    """record_id, the event's columns in their declared kinds, and unread_columns; get gives a landed column of rows by name.
 
     unread_columns names, in order, the columns whose text is there, but doesn't read and so became NULL; NULL where there are none.
     """
     read = {"instant": lambda c: F.timestamp_seconds(epoch_of(c)), "text": text_of}
-    typed = {f.name: read.get(f.kind, number_of)(get(f.name)) for f in EVENT_FIELDS}
-    unread = [F.when(text_of(get(f.name)).isNotNull() & typed[f.name].isNull(), F.lit(f.name)) for f in EVENT_FIELDS if f.kind != "text"]
-    names = F.concat_ws(",", *unread)
-    return [*[c.alias(n) for n, c in typed.items()], F.when(names != "", names).alias("unread_columns")]
+    others = [f.name for f in EVENT_FIELDS if f.kind != "text"]
+    typed = rows.select(
+        "record_id",
+        *[read.get(f.kind, number_of)(get(f.name)).alias(f.name) for f in EVENT_FIELDS],
+        F.transform(F.array(*[get(n) for n in others]), lambda c: F.coalesce(F.trim(c) != "", F.lit(False))).alias("_there"),
+    )
+    names = F.concat_ws(",", *[F.when(F.get("_there", F.lit(i)) & F.col(n).isNull(), F.lit(n)) for i, n in enumerate(others)])
+    return typed.select("record_id", *[f.name for f in EVENT_FIELDS], F.when(names != "", names).alias("unread_columns"))
 
 
 def load_lines(lines: DataFrame, checked: dict[str, str] = CHECKED) -> tuple[DataFrame, DataFrame]:
@@ -90,14 +94,14 @@ def load_lines(lines: DataFrame, checked: dict[str, str] = CHECKED) -> tuple[Dat
     judged = lines.select("record_id", "raw_line", reason_of(F.col("raw_line"), EVENT_FIELDS, checked).alias("reason"))
     at = {f.name: i for i, f in enumerate(EVENT_FIELDS)}
     fields = judged.where("reason is null").select("record_id", split_fields(F.col("raw_line")).alias("_f"))
-    sound = fields.select("record_id", *typed_event(lambda n: F.get(F.col("_f"), at[n])))
+    sound = typed_events(fields, lambda n: F.get(F.col("_f"), at[n]))
     return sound, judged.where("reason is not null").select("record_id", "reason")
 
 
 def load_columns(events: DataFrame, checked: dict[str, str] = CHECKED) -> tuple[DataFrame, DataFrame]:
     """(sound, broken) of records that are landed as 20 text columns and record_id."""
     reason = column_reason(checked)
-    sound = events.where(reason.isNull()).select("record_id", *typed_event(F.col))
+    sound = typed_events(events.where(reason.isNull()), F.col)
     return sound, events.select("record_id", reason.alias("reason")).where("reason is not null")
 
 

@@ -23,8 +23,7 @@ def require_columns(df: DataFrame, names: set[str], label: str) -> None:
 
 def whole_of(c: Column) -> Column:
     """The whole part of a number that reads; NULL beyond the range of an int."""
-    n = number_of(c)
-    return F.when(F.abs(n) < 2_147_483_648, n.cast("int"))
+    return number_of(c).try_cast("int")
 
 
 def payload() -> Column:
@@ -36,31 +35,43 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
 
 
+#: Stands for NULL where payloads are hashed: no landed text has these characters.
+_NOTHING = "\x00\uffff"
+
+
 def payload_hashes() -> list[Column]:
-    """128 bits over the landed columns as they are, NULL apart from any text: what tells differing payloads without their text."""
-    parts = [c for n in EVENT_COLUMNS for c in (F.col(n), F.col(n).isNull())]
-    return [F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("_h2")]
+    """128 bits over the landed columns as they are, NULL apart from any text: what tells differing payloads without their text.
+
+    Hashed as one array: an argument per column makes a generated method that is too long to be compiled further.
+    """
+    texts = F.array(*[F.coalesce(c, F.lit(_NOTHING)) for c in EVENT_COLUMNS])
+    return [F.xxhash64(texts).alias("_h1"), F.xxhash64(F.lit(1), texts).alias("_h2")]
 
 
 def typed(bronze: DataFrame) -> DataFrame:
     """Landed records with typed columns, event_ts_utc, event_date, event_payload_sha256, is_valid, and hashes of the payload. Text that doesn't read becomes NULL."""
     require_columns(bronze, {*EVENT_COLUMNS, "_ingested_at", "_source_file"}, "bronze")
-    second = epoch_of(F.col("event_ts"))
-    changed = {
-        **{c: number_of(F.col(c)) for c in _DOUBLES},
-        **{c: whole_of(F.col(c)) for c in _INTS},
-        **{c: F.lower(F.trim(c)) for c in _LOWER},
-        **{c: F.upper(F.trim(c)) for c in _UPPER},
-    }
-    rows = bronze.select(
-        *[changed.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS],
+    # in two steps, for one would make a generated method that is too long to be compiled further
+    texts = {**{c: F.lower(F.trim(c)) for c in _LOWER}, **{c: F.upper(F.trim(c)) for c in _UPPER}}
+    read = bronze.select(
+        *[texts.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS],
         "_ingested_at",
         "_source_file",
         F.sha2(payload(), 256).alias("event_payload_sha256"),
-        F.timestamp_seconds(second).alias("event_ts_utc"),
-        day_of(second).alias("event_date"),
+        epoch_of(F.col("event_ts")).alias("_second"),
         *payload_hashes(),
     )
+    numbers = {**{c: number_of(F.col(c)) for c in _DOUBLES}, **{c: whole_of(F.col(c)) for c in _INTS}}
+    rows = read.select(
+        *[numbers.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS],
+        "_ingested_at",
+        "_source_file",
+        "event_payload_sha256",
+        F.timestamp_seconds("_second").alias("event_ts_utc"),
+        day_of(F.col("_second")).alias("event_date"),
+        "_h1",
+        "_h2",
+    )
     valid = F.lit(True)
     for c in REQUIRED:
         valid = valid & ~blank(F.col(c))
@@ -94,11 +105,8 @@ def _by_event(rows: DataFrame, columns: tuple[str, ...] | None = None) -> DataFr
     """Per event_id: whether payloads differ among all its records, valid or not, and its newest valid record, or the asked columns of it. Combined before the shuffle."""
     record = F.struct(*[c for c in columns or rows.columns if c not in ("is_valid", "_h1", "_h2")])
     newest = F.when(F.col("is_valid"), F.struct("_ingested_at", "_source_file"))
-    return (
-        rows.where(~blank(F.col("event_id")))
-        .groupBy("event_id")
-        .agg(F.expr(_DIFFER).alias("is_conflicting_event_id"), F.max_by(record, newest).alias("_newest"))
-    )
+    packed = rows.where(~blank(F.col("event_id"))).select("event_id", "_h1", "_h2", record.alias("_record"), newest.alias("_at"))
+    return packed.groupBy("event_id").agg(F.expr(_DIFFER).alias("is_conflicting_event_id"), F.max_by("_record", "_at").alias("_newest"))
 
 
 def silver(bronze: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
