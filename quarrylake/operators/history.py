@@ -261,3 +261,19 @@ class ChainStore:
             name = s.getPath().getName()
             if (name.startswith("run-") and name not in runs) or name.startswith("draft-") or (name.startswith("state-") and name != f"state-{number}.json"):
                 self._fs.delete(s.getPath(), True)
+
+
+def maintained_history(assignments: DataFrame, store: ChainStore) -> DataFrame:
+    """assignment_history by way of a store: chains of the evidence that came in time are put in force, then those that late evidence touches are rebuilt from all their evidence and replaced at once."""
+    evidence = usable_evidence(assignments)
+    is_late = late(evidence)
+    in_time = evidence.where(~is_late)
+    store.replace(in_time, in_time)
+    store.replace(evidence, evidence.where(is_late))
+    chains = store.read()
+    return build_chains(evidence.limit(0)) if chains is None else chains
+
+
+def buckets_for(rows: int, per_bucket: int = 250_000) -> int:
+    """How many buckets a store of the chains of so many rows of evidence has: a bucket is rewritten by one task."""
+    return min(65_536, max(16, -(-rows // per_bucket)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions.reading import day_of
+from quarrylake.functions.staging import shared_folder
 from quarrylake.operators import anomalies, asof, delivery, history, intervals, malformed, rolling
 from quarrylake.operators.trusted import contradicting_ids, landed_times, trusted_events
 
@@ -38,7 +40,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = history.assignment_history(_table(spark, sf_dir, "machine_assignments"))
+    assignments = _table(spark, sf_dir, "machine_assignments")
+    store = history.ChainStore(spark, f"{shared_folder(spark)}/chains-{uuid.uuid4().hex}", history.buckets_for(assignments.count()))
+    chains = history.maintained_history(assignments, store)
     return chains.select("machine_id", F.date_format("effective_from", "yyyy-MM-dd").alias("effective_from"), "client_id", "site_id", "model")
 
 

@@ -337,6 +337,10 @@ def test_history_against_brute_force(spark, tmp_path):
     store.sweep()
     assert pick(store.read()) == have and len(list(tmp_path.iterdir())) < before
     assert history.assignment_history(df.limit(0)).collect() == []
+    kept = history.ChainStore(spark, str(tmp_path / "whole"), history.buckets_for(df.count()))
+    assert pick(history.maintained_history(df, kept)) == want and pick(kept.read()) == want
+    assert history.maintained_history(df.limit(0), history.ChainStore(spark, str(tmp_path / "none"))).collect() == []
+    assert [history.buckets_for(n) for n in (0, 10**7, 10**12)] == [16, 40, 65_536]
 
 
 def test_sources_findings_and_rejected_evidence(spark):
