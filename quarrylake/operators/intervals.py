@@ -28,7 +28,8 @@ def continuous_periods(intervals: DataFrame, keys: list[str], start: str, length
     part. NULL is a key value as any other. Repeated rows change nothing. An empty table gives an empty table. Without
     cuts (of one of the keys) every key stays whole; no result depends on them.
     """
-    rows = with_piece(intervals.where(F.col(start).isNotNull() & (F.col(length) > 0)), cuts, start, PIECE).select(
+    some = intervals.select(*dict.fromkeys([*keys, start, length])).where(F.col(start).isNotNull() & (F.col(length) > 0))
+    rows = with_piece(some, cuts, start, PIECE).select(
         *keys,
         "_piece",
         F.timestamp_seconds(F.col(start)).alias("_at"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quarrylake.operators import checks, forecast, marts, medallion, star
 from quarrylake.operators.publication import Family, fingerprint
-from quarrylake.plans import reports
+from quarrylake.plans import problems, reports
 from quarrylake.plans.frames import Frames
 from quarrylake.sources import landing
 from quarrylake.streaming.ingest import ingest
@@ -50,6 +50,17 @@ def test_catalogue_queries(spark, data, name):
     same(spark, data, name)
 
 
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_problem_queries_on_empty_tables_and_null_rows(spark, data, tmp_path, kind):
+    for name in ("sample_machine_events", "machine_assignments", "landed_lines"):
+        df = spark.read.parquet(f"{data}/{name}.parquet")
+        nulls = df.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]).limit(5)
+        (df.limit(0) if kind == "empty" else df.limit(20).unionByName(nulls).unionByName(nulls)).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in problems.QUERIES.items():
+        rows = query(spark, str(tmp_path)).collect()
+        assert rows == [] if kind == "empty" else all(r[0] is not None for r in rows if name != "p6_found"), name
+
+
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
