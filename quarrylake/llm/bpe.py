@@ -12,6 +12,7 @@ gives the encoding.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Iterator
@@ -145,17 +146,38 @@ class _Units(dict):
         return e
 
 
+def _of_json(content: bytes) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """(ids, merges in order) of a vocabulary file in JSON."""
+    model, letters = json.loads(content)["model"], byte_letters()
+    raw = lambda t: bytes([letters[c] for c in t])
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    return {raw(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}, [(raw(a), raw(b)) for a, b in pairs]
+
+
+def _of_ranks(content: bytes) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """(ids, merges in order) of a file of tokens and ranks. A token's merge is of the two parts that the merges before it leave of it."""
+    ids = {base64.b64decode(t): int(rank) for t, rank in (line.split() for line in content.splitlines() if line.strip())}
+    merges = []
+    for token, rank in sorted(ids.items(), key=lambda x: x[1]):
+        if len(token) == 1:
+            continue
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            at = min(range(len(parts) - 1), key=lambda i: ids.get(parts[i] + parts[i + 1], rank))
+            if ids.get(parts[at] + parts[at + 1], rank) >= rank:
+                raise ValueError(f"no two tokens make token {rank}")
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        merges.append((parts[0], parts[1]))
+    return ids, merges
+
+
 class Tokenizer:
-    """Encodes texts with a byte-level BPE vocabulary (the JSON that the public file holds). Special tokens are never made."""
+    """Encodes texts with a byte-level BPE vocabulary: the content of a public file in JSON, or of one of tokens and ranks. Special tokens are never made."""
 
     _cut = re.compile(r" (?=\S)")
 
     def __init__(self, vocabulary: bytes):
-        model, letters = json.loads(vocabulary)["model"], byte_letters()
-        raw = lambda t: bytes([letters[c] for c in t])
-        ids = {raw(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.automaton = Automaton(ids, [(raw(a), raw(b)) for a, b in pairs])
+        self.automaton = Automaton(*(_of_json if vocabulary.lstrip()[:1] == b"{" else _of_ranks)(vocabulary))
         words: dict[str, bytes] = {}
         self._first, self._next = _Units("", words, self.automaton), _Units(" ", words, self.automaton)
 

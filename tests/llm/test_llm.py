@@ -1,5 +1,6 @@
 """Tokens against a public library, packing and language identification against what must hold."""
 
+import base64
 import json
 import os
 import random
@@ -42,6 +43,24 @@ def test_encoding_equals_the_library(ours, theirs):
     assert [ours.encode(t) for t in texts] == theirs(texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_files_of_ranks(ours, name):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = os.path.join(os.path.dirname(PATH), f"{name}.tiktoken")
+    if not os.path.exists(path):
+        pytest.skip("no such file")
+    with open(path, "rb") as f:
+        content = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    tokenizer, texts = bpe.Tokenizer(content), odd_texts()
+    assert [tokenizer.encode(t) for t in texts] == [theirs.encode_ordinary(t) for t in texts]
+    assert [tokenizer.decode(tokenizer.encode(t)) for t in texts] == texts
+    if name == "byte_bpe_50k":
+        assert [tokenizer.encode(t) for t in texts] == [ours.encode(t) for t in texts]
+
+
 def test_round_trip(ours):
     for t in odd_texts():
         assert ours.decode(ours.encode(t)) == t
