@@ -366,8 +366,13 @@ def implausible_readings(events: DataFrame, fields: tuple[str, ...] = tuple(READ
         )
     )
     spread = with_piece(rows, cuts, "epoch_s", PIECE).select(*place, F.explode(places).alias("_place")).select(*place, "_place._shard", "_place._own")
-    habits = _habits(spread.where("_shard >= 0").repartition("machine_id", "_shard"), list(fields))
-    return _judged(spread.join(cuts.small(habits), "machine_id", "left").repartition("machine_id", "_shard"), list(fields))
+    if not cuts.named:
+        habits = _habits(spread.where("_shard >= 0").repartition("machine_id", "_shard"), list(fields))
+        return _judged(spread.join(habits, "machine_id", "left").repartition("machine_id", "_shard"), list(fields))
+    # one shuffle serves both readings of the shards: this filter, as it depends on the partition, stays above it
+    shards, here = spread.repartition("machine_id", "_shard"), F.spark_partition_id()
+    habits = _habits(shards.where(F.coalesce("_shard", F.lit(-1)) + here >= here), list(fields))
+    return _judged(shards.join(F.broadcast(habits), "machine_id", "left"), list(fields))
 
 
 def _judged(shards: DataFrame, fields: list[str]) -> DataFrame:
