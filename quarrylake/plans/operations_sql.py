@@ -1,8 +1,6 @@
 """Audits, quality, evidence and operational reports as plain SQL, run by DuckDB."""
 
-from quarrylake.plans.catalogue_sql import (
-    _BIG, _CHAINS, _E_SILVER, _E_UPTIME, _STAR_OBS, BRONZE, MARTS, SILVER, _counting, two,
-)
+from quarrylake.plans.catalogue_sql import _E_SILVER, _E_UPTIME, _STAR_OBS, BRONZE, MARTS, _counting, two
 from quarrylake.plans.catalogue_sql import SQL as CATALOGUE
 from quarrylake.plans.problem_sql import _USABLE
 
