@@ -121,7 +121,7 @@ def test_star_and_audits(spark, bronze):
     assert {(r.measure, r.observed_count) for r in star.measure_differences(moved, uptime, failures).where("observed_count > 0").collect()} == {("downtime_minutes", 1)}
 
 
-def test_unsettled_machines_stay_out(spark):
+def test_unsettled_machines_are_told(spark):
     up = spark.createDataFrame([(date(2026, 4, 1), "M1", "S1", "C1", "X"), (date(2026, 4, 1), "M1", "S2", "C1", "X"), (date(2026, 4, 1), "M2", "S1", "C1", " "), (date(2026, 4, 1), "M3", "S1", "C1", "X")], "event_date date, machine_id string, site_id string, client_id string, model string")
     assert {r.machine_id for r in star.unsettled_machines(star.observations(up, up)).collect()} == {"M1", "M2"}
 
